@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import packing, tokens
+from folioflow.llm import chunks, packing, tokens
 from folioflow.session import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_pieces(spark, sf_dir).filter("n_pieces > 1").select("block_key").distinct()
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.split_texts(chunks.block_items(spark, sf_dir), ["block_key"])
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -18,5 +26,19 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tokens.token_counts(table(spark, sf_dir, "documents")), sizes)
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_containers": p7_containers}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
+    "p6_ids": p6_ids,
+    "p7_containers": p7_containers,
+}
+ORACLES: dict[str, str] = {
+    "p4_found": """
+        WITH items AS (
+            SELECT DISTINCT block_key, type, text FROM raw_blocks WHERE type IS DISTINCT FROM 'table'
+            UNION ALL
+            SELECT DISTINCT block_key, 'table', markdown FROM raw_tables
+        )
+        SELECT DISTINCT block_key FROM items JOIN chunk_limits ON type = block_type WHERE length(text) > max_chars
+    """,
+}
