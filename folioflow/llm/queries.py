@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import chunks, packing, tokens
+from folioflow.llm import chunks, lookalike, packing, tokens
 from folioflow.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.found(lookalike.text_items(spark, sf_dir))
+
+
+def p2_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.normalised(lookalike.text_items(spark, sf_dir).distinct())
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).filter("n_pieces > 1").select("block_key").distinct()
 
@@ -27,6 +35,8 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_normalised": p2_normalised,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p6_ids": p6_ids,
