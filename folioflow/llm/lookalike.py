@@ -113,15 +113,19 @@ def suspicious() -> str:
 
 
 def _tokens(text: Column) -> Column:
-    """The tokens with a mapped character; each position of the text is visited once."""
-    bad = suspicious()
-    return F.regexp_extract_all(text, F.lit(f"(?<![^{WHITE}])[^{WHITE}{bad}]*+[{bad}][^{WHITE}]*+"), F.lit(0))
+    """The tokens with a mapped character.
+
+    Tokens beyond ASCII are taken first, each position of the text visited once;
+    the long character class is tried on these only.
+    """
+    beyond = F.regexp_extract_all(text, F.lit(f"(?<![^{WHITE}])[\\x21-\\x7e]*+[^\\x00-\\x7f][^{WHITE}]*+"), F.lit(0))
+    return F.filter(F.array_distinct(beyond), lambda token: token.rlike(f"[{suspicious()}]"))
 
 
 def occurrences(items: DataFrame) -> DataFrame:
     """item_kind, item_key, item_pos and token, distinct, of the items (those columns and text) with a mapped character."""
-    hit = items.filter(F.col("text").rlike(f"[{suspicious()}]"))
-    return hit.select("item_kind", "item_key", "item_pos", F.explode(F.array_distinct(_tokens(F.col("text")))).alias("token")).distinct()
+    beyond = items.filter(F.octet_length("text") > F.char_length("text"))
+    return beyond.select("item_kind", "item_key", "item_pos", F.explode(_tokens(F.col("text"))).alias("token")).distinct()
 
 
 def ordinary_tokens(tokens: DataFrame) -> DataFrame:
