@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import chunks, lookalike, packing, tokens
+from folioflow.llm import chunks, junk, lookalike, packing, tokens
 from folioflow.session import table
 
 
@@ -34,6 +34,10 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tokens.token_counts(table(spark, sf_dir, "documents")), sizes)
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return junk.found(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_normalised": p2_normalised,
@@ -41,6 +45,7 @@ QUERIES = {
     "p4_pieces": p4_pieces,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
+    "p8_found": p8_found,
 }
 ORACLES: dict[str, str] = {
     "p4_found": """
