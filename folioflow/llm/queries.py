@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import chunks, junk, lookalike, packing, tokens
+from folioflow.llm import chunks, junk, lookalike, overlap, packing, tokens
 from folioflow.session import table
 
 
@@ -24,6 +24,14 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.split_texts(chunks.block_items(spark, sf_dir), ["block_key"])
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.found(spark, sf_dir)
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.report(spark, sf_dir)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -43,6 +51,8 @@ QUERIES = {
     "p2_normalised": p2_normalised,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
     "p8_found": p8_found,
