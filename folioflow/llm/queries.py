@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import chunks, junk, lookalike, overlap, packing, tokens
+from folioflow.llm import chunks, junk, lookalike, overlap, packing, scans, tokens
 from folioflow.session import table
 
 
@@ -16,6 +16,14 @@ def p2_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.normalised(lookalike.text_items(spark, sf_dir).distinct())
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.found(spark, sf_dir)
+
+
+def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.paragraphs(spark, sf_dir)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).filter("n_pieces > 1").select("block_key").distinct()
 
@@ -49,6 +57,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_normalised": p2_normalised,
+    "p3_found": p3_found,
+    "p3_paragraphs": p3_paragraphs,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
