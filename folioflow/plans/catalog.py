@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from folioflow.operators import units
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {
+    "p1_found": units.found,
+    "p1_amounts": units.all_amounts,
+}
 ORACLES: dict[str, str] = {}
 
 
