@@ -20,85 +20,17 @@ invisible characters becomes empty; texts sent twice count once.
 
 from __future__ import annotations
 
-import sys
-import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioflow.functions.charmap import ALIKE, compositions, mappings, marks
 from folioflow.session import saved, table
 
-#: Fixed: letters of other scripts and the Latin letters they look like, pairwise.
-ALIKE = (
-    # Cyrillic
-    ("АВЕЅІЇЈКМНОРСТУХԌԚԜҮҺ", "ABESIÏJKMHOPCTYXGQWYH"),
-    ("аеёѕіїјорсухһԁԛԝѵүӏ", "aeësiïjopcyxhdqwvyl"),
-    # Greek
-    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ", "ABEZHIKMNOPTYXC"),
-    ("αγικνορυχϲϳ", "ayikvopuxcj"),
-    # Armenian
-    ("ՏՍՕԼ", "SUOL"),
-    ("ոօհսցզյ", "nohugqj"),
-    # Latin letters of phonetic spelling
-    ("ɑɡɩ", "agi"),
-)
-#: Fixed: signs that look like an ASCII sign.
-SIGNS = ("‚․∕⁄∶꞉∗∣ǀǃʼ’‘“”＂", ",.//::*||!'''\"\"\"")
-#: Decompositions that change the look only; others (super, sub, fraction, circle, square, ...) have a meaning.
-LOOKS = {"<wide>", "<narrow>", "<font>", "<small>", "<noBreak>", "<isolated>", "<initial>", "<medial>", "<final>"}
-#: Fixed: blocks of ligatures and of Roman numerals, whose <compat> decomposition looks the same.
-COMPAT = ((0xFB00, 0xFB06), (0x2160, 0x217F))
-#: Fixed: invisible characters that are no format characters; and letters that are signs of their own (litre, ohm, micro).
-HIDDEN = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0)
-OWN = "ℓΩµℹ"
 WHITE = r" \n\r\t"
 
 
-@lru_cache(maxsize=1)
-def mappings() -> list[tuple[str, str, str]]:
-    """(character, what it becomes, kind) by rule; kind is space, invisible, plain or alike. About 2,500 rows."""
-    rows = {}
-    for cp in range(0x80, min(0x30000, sys.maxunicode)):
-        ch = chr(cp)
-        kind = unicodedata.category(ch)
-        if ch in OWN or kind in ("Cn", "Cs", "Co"):
-            continue
-        if kind == "Zs":
-            rows[ch] = (" ", "space")
-        elif kind == "Cf" or cp in HIDDEN or 0xFE00 <= cp <= 0xFE0F or (kind == "Cc" and cp != 0x85):
-            rows[ch] = ("", "invisible")
-        elif found := unicodedata.decomposition(ch):
-            tag, *rest = found.split()
-            if tag in LOOKS or any(a <= cp <= b for a, b in COMPAT) or (tag[0] != "<" and not rest and not 0xF900 <= cp <= 0xFAFF):
-                to = unicodedata.normalize("NFKC", ch)
-                if to != ch:
-                    rows[ch] = (to, "plain")
-    for foreign, latin in ALIKE:
-        rows |= {a: (b, "alike") for a, b in zip(foreign, latin, strict=True)}
-    rows |= {a: (b, "plain") for a, b in zip(*SIGNS, strict=True)}
-    return [(ch, to, kind) for ch, (to, kind) in sorted(rows.items())]
-
-
-@lru_cache(maxsize=1)
-def marks() -> list[tuple[str, int]]:
-    """Combining marks and their class."""
-    return [(chr(cp), unicodedata.combining(chr(cp))) for cp in range(0x300, 0x1E950) if unicodedata.combining(chr(cp))]
-
-
-@lru_cache(maxsize=1)
-def compositions() -> list[tuple[str, str]]:
-    """Pairs of a character and a mark, and their one character."""
-    out = []
-    for cp in range(0xC0, 0x1FFF):
-        pair = unicodedata.normalize("NFD", chr(cp))
-        if len(pair) > 1:
-            base = unicodedata.normalize("NFC", pair[:-1])
-            if len(base) == 1 and unicodedata.normalize("NFC", base + pair[-1]) == chr(cp):
-                out.append((base + pair[-1], chr(cp)))
-    return out
-
-
 @lru_cache(maxsize=1)
 def suspicious() -> str:
     """A character class of all mapped characters and marks, as ranges."""
