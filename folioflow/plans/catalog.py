@@ -7,15 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioflow.operators import units
+from folioflow.plans import printed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {
-    "p1_found": units.found,
-    "p1_amounts": units.all_amounts,
-}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {"p1_found": units.found, "p1_amounts": units.all_amounts, **printed.QUERIES}
+ORACLES: dict[str, str] = {**printed.ORACLES}
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(QUERIES.values()))(spark, sf_dir)
+    return QUERIES["finance_scaled_total"](spark, sf_dir)
