@@ -19,30 +19,84 @@ _NUMBER = r"^[+-]?(?:\d{1,3}(?:[, ]\d{3})+|\d+)(?:\.\d+)?$"
 VALUE = "struct<num:double,scaled:double,currency:string,unit:string,is_negative:boolean,negative_style:string,is_dash:boolean,footnote_refs:array<string>>"
 
 
-def _stages(df: DataFrame, text: Column) -> DataFrame:
-    """The steps of reading a figure, each a column, so that no expression is written out twice."""
-    wrapped = r"^\(.*\)$"
-    df = df.withColumn("_x", squeeze(nfkc(text)))
-    bare = F.lower(F.regexp_replace("_x", r"^[ .]+|[ .]+$", ""))
-    df = df.withColumn("_dash", F.col("_x").rlike(f"^[{DASHES}]+$") | bare.isin(*DASH_WORDS))
-    pattern = f"(?i)^(.+?)((?:{_MARKER})+)\\s*$"
-    df = df.withColumn("_marks", F.regexp_extract("_x", pattern, 2)).withColumn("_a", F.when(F.col("_marks") != "", F.trim(F.regexp_extract("_x", pattern, 1))).otherwise(F.col("_x")))
-    refs = F.regexp_extract_all("_marks", F.lit(f"(?i){_MARKER}"), F.lit(0))
-    df = df.withColumn("_refs", F.transform(refs, lambda r: F.regexp_replace(F.trim(r), r"^\(|\)$", "")))
-    df = df.withColumn("_outer", F.col("_a").rlike(wrapped) & (F.length("_a") > 2))
-    df = df.withColumn("_b", F.when(F.col("_outer"), F.trim(F.expr("substring(_a, 2, length(_a) - 2)"))).otherwise(F.col("_a")))
-    df = df.withColumn("_pct", F.col("_b").endswith("%")).withColumn("_c", F.when(F.col("_pct"), F.trim(F.expr("substring(_b, 1, length(_b) - 1)"))).otherwise(F.col("_b")))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once.
+
+    A lambda's variable is no alias that the optimizer could write out again, so
+    chained steps stay as long as they are.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _inside(text: Column) -> Column:
+    """The text without its first and last character."""
+    return F.trim(F.substring(text, F.lit(2), F.length(text) - 2))
+
+
+def _symbol(text: Column) -> Column:
+    """(code, rest): the currency sign a text begins or ends with, and the text without it."""
     code: Column = F.lit(None).cast("string")
-    rest: Column = F.col("_c")
+    rest: Column = text
     for symbol, iso in reversed(SYMBOLS.items()):
-        leads, trails = F.col("_c").startswith(symbol), F.col("_c").endswith(symbol)
+        leads, trails = F.startswith(text, F.lit(symbol)), F.endswith(text, F.lit(symbol))
         code = F.when(leads | trails, iso).otherwise(code)
-        rest = F.when(leads, F.trim(F.expr("substring(_c, 2, length(_c))"))).when(trails, F.trim(F.expr("substring(_c, 1, length(_c) - 1)"))).otherwise(rest)
-    df = df.withColumn("_cur", code).withColumn("_d", rest)
-    df = df.withColumn("_inner", ~F.col("_outer") & F.col("_d").rlike(wrapped) & (F.length("_d") > 2))
-    df = df.withColumn("_e", F.when(F.col("_inner"), F.trim(F.expr("substring(_d, 2, length(_d) - 2)"))).otherwise(F.col("_d")))
-    number = F.when(F.col("_e").rlike(_NUMBER), F.expr("try_cast(regexp_replace(_e, '[, ]', '') as double)"))
-    return df.withColumn("_n", number)
+        rest = F.when(leads, F.trim(F.substring(text, F.lit(2), F.length(text)))).when(trails, F.trim(F.substring(text, F.lit(1), F.length(text) - 1))).otherwise(rest)
+    return F.struct(code.alias("code"), rest.alias("rest"))
+
+
+def value_of(text: Column, scale: Column, currency: Column) -> Column:
+    """The value of a printed text under a table's scale and currency, as one expression."""
+    wrapped = r"^\(.*\)$"
+    trailing = f"(?i)^(.+?)((?:{_MARKER})+)\\s*$"
+
+    def dash(x: Column) -> Column:
+        bare = F.lower(F.regexp_replace(x, r"^[ .]+|[ .]+$", ""))
+        return F.rlike(x, F.lit(f"^[{DASHES}]+$")) | bare.isin(*DASH_WORDS)
+
+    def refs(marks: Column) -> Column:
+        return F.transform(F.regexp_extract_all(marks, F.lit(f"(?i){_MARKER}"), F.lit(0)), lambda r: F.regexp_replace(F.trim(r), r"^\(|\)$", ""))
+
+    def figure(x: Column, marks: Column, a: Column) -> Column:
+        outer = F.rlike(a, F.lit(wrapped)) & (F.length(a) > 2)
+        return _let(
+            F.struct(outer.alias("outer"), F.when(outer, _inside(a)).otherwise(a).alias("b")),
+            lambda s: _let(
+                F.struct(s["outer"].alias("outer"), F.endswith(s["b"], F.lit("%")).alias("pct"), _symbol(F.when(F.endswith(s["b"], F.lit("%")), F.trim(F.substring(s["b"], F.lit(1), F.length(s["b"]) - 1))).otherwise(s["b"])).alias("sym")),
+                lambda t: _let(
+                    F.struct(t["outer"].alias("outer"), t["pct"].alias("pct"), t["sym"]["code"].alias("code"), t["sym"]["rest"].alias("d"), (~t["outer"] & F.rlike(t["sym"]["rest"], F.lit(wrapped)) & (F.length(t["sym"]["rest"]) > 2)).alias("inner")),
+                    lambda u: _let(
+                        F.struct((u["outer"] | u["inner"]).alias("paren"), u["pct"].alias("pct"), F.coalesce(u["code"], currency).alias("cur"), F.when(u["inner"], _inside(u["d"])).otherwise(u["d"]).alias("e")),
+                        lambda v: F.when(
+                            F.rlike(v["e"], F.lit(_NUMBER)),
+                            _let(
+                                F.struct(F.when(v["paren"], -F.abs(F.regexp_replace(v["e"], "[, ]", "").try_cast("double"))).otherwise(F.regexp_replace(v["e"], "[, ]", "").try_cast("double")).alias("num"), v["paren"].alias("paren"), v["pct"].alias("pct"), v["cur"].alias("cur")),
+                                lambda w: F.struct(
+                                    w["num"].alias("num"), F.when(w["pct"], w["num"]).otherwise(w["num"] * scale).alias("scaled"), w["cur"].alias("currency"),
+                                    F.when(w["pct"], "percent").when(w["cur"].isNotNull(), "currency").alias("unit"), (w["num"] < 0).alias("is_negative"),
+                                    F.when(w["paren"], "parentheses").when(w["num"] < 0, "minus").alias("negative_style"), F.lit(False).alias("is_dash"), refs(marks).alias("footnote_refs"),
+                                ).cast(VALUE),
+                            ),
+                        ),
+                    ),
+                ),
+            ),
+        )
+
+    nothing = F.struct(
+        F.lit(None).cast("double").alias("num"), F.lit(None).cast("double").alias("scaled"), currency.alias("currency"), F.when(currency.isNotNull(), "currency").alias("unit"),
+        F.lit(False).alias("is_negative"), F.lit(None).cast("string").alias("negative_style"), F.lit(True).alias("is_dash"), F.array().cast("array<string>").alias("footnote_refs"),
+    ).cast(VALUE)
+    return _let(
+        squeeze(nfkc(text)),
+        lambda x: F.when(x.isNull() | (x == ""), None)
+        .when(dash(x), nothing)
+        .otherwise(
+            _let(
+                F.struct(x.alias("x"), F.regexp_extract(x, trailing, 2).alias("marks")),
+                lambda m: figure(m["x"], m["marks"], F.when(m["marks"] != "", F.trim(F.regexp_extract(m["x"], trailing, 1))).otherwise(m["x"])),
+            )
+        ),
+    )
 
 
 def parse_values(df: DataFrame, text: Column, scale: Column | None = None, currency: Column | None = None, out: str = "value") -> DataFrame:
@@ -51,24 +105,8 @@ def parse_values(df: DataFrame, text: Column, scale: Column | None = None, curre
     ``scale`` and ``currency`` are those the table declares.  Percentages are
     never scaled; a negative in brackets keeps its style; a dash is no number.
     """
-    scale = F.lit(1.0) if scale is None else F.coalesce(scale, F.lit(1.0))
-    own = F.lit(None).cast("string") if currency is None else currency
-    df = _stages(df.withColumn("_scale", scale).withColumn("_own", own), text)
-    paren = F.col("_outer") | F.col("_inner")
-    num = F.when(paren, -F.abs("_n")).otherwise(F.col("_n"))
-    used = F.coalesce("_cur", "_own")
-    dash = F.struct(
-        F.lit(None).cast("double").alias("num"), F.lit(None).cast("double").alias("scaled"), F.col("_own").alias("currency"), F.when(F.col("_own").isNotNull(), "currency").alias("unit"),
-        F.lit(False).alias("is_negative"), F.lit(None).cast("string").alias("negative_style"), F.lit(True).alias("is_dash"), F.array().cast("array<string>").alias("footnote_refs"),
-    )
-    figure = F.struct(
-        num.alias("num"), F.when(F.col("_pct"), num).otherwise(num * F.col("_scale")).alias("scaled"), used.alias("currency"),
-        F.when(F.col("_pct"), "percent").when(used.isNotNull(), "currency").alias("unit"), (num < 0).alias("is_negative"),
-        F.when(paren, "parentheses").when(num < 0, "minus").alias("negative_style"), F.lit(False).alias("is_dash"), F.col("_refs").alias("footnote_refs"),
-    )
-    value = F.when(F.col("_x").isNull() | (F.col("_x") == ""), None).when(F.col("_dash"), dash).when(F.col("_n").isNotNull(), figure)
-    made = [c for c in ("_x", "_dash", "_marks", "_a", "_refs", "_outer", "_b", "_pct", "_c", "_cur", "_d", "_inner", "_e", "_n", "_scale", "_own")]
-    return df.withColumn(out, value.cast(VALUE)).drop(*made)
+    by = F.lit(1.0) if scale is None else F.coalesce(scale, F.lit(1.0))
+    return df.withColumn(out, value_of(text, by, F.lit(None).cast("string") if currency is None else currency))
 
 
 def looks_numeric(value: Column) -> Column:

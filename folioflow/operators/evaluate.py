@@ -29,7 +29,9 @@ def cell_index(cells: DataFrame) -> DataFrame:
     held = cells.filter("text is not null")
     once = held.select("text").distinct()
     parsed = parse_values(once.withColumn("needle", normal(F.col("text"))), F.col("text")).select("text", "needle", F.col("value.num").alias("num"))
-    return held.select("doc_id", "page_number", "block_ord", "cell_ord", "cell_key", "text", "is_header").join(parsed, "text").filter("needle <> ''").drop("text")
+    joined = held.select("doc_id", "page_number", "block_ord", "cell_ord", "cell_key", "text", "is_header").join(parsed, "text").filter("needle <> ''").drop("text")
+    # header cells have no value
+    return joined.withColumn("num", F.when(~F.coalesce("is_header", F.lit(False)), F.col("num")))
 
 
 def block_index(blocks: DataFrame) -> DataFrame:

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioflow.operators import units
-from folioflow.plans import printed
+from folioflow.plans import evaluation, printed, structure
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {"p1_found": units.found, "p1_amounts": units.all_amounts, **printed.QUERIES}
-ORACLES: dict[str, str] = {**printed.ORACLES}
+QUERIES: dict[str, Query] = {"p1_found": units.found, "p1_amounts": units.all_amounts, **printed.QUERIES, **structure.QUERIES, **evaluation.QUERIES}
+ORACLES: dict[str, str] = {**printed.ORACLES, **structure.ORACLES, **evaluation.ORACLES}
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["finance_scaled_total"](spark, sf_dir)
+    return QUERIES["chunk_metadata"](spark, sf_dir)
