@@ -59,8 +59,12 @@ def iter_blocks(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     """The blocks in the order of the pages' reading orders, numbered by document; unknown ids are skipped."""
     listed = pages.select("doc_id", "page_number", F.posexplode("reading_order").alias("pos", "block_id"))
     joined = listed.join(blocks.select("doc_id", "block_id", "type", "text"), ["doc_id", "block_id"])
-    by_doc = Window.partitionBy("doc_id").orderBy("page_number", "pos")
-    return joined.withColumn("n", F.row_number().over(by_doc) - 1).select("doc_id", "n", "page_number", "block_id", "type", "text")
+    # numbered within the page, plus the pages before: no window holds a document's blocks
+    on_page = Window.partitionBy("doc_id", "page_number").orderBy("pos")
+    earlier = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = joined.groupBy("doc_id", "page_number").count().withColumn("_base", F.coalesce(F.sum("count").over(earlier), F.lit(0))).drop("count")
+    numbered = joined.withColumn("_n", F.row_number().over(on_page) - 1).join(offsets, ["doc_id", "page_number"])
+    return numbered.select("doc_id", (F.col("_n") + F.col("_base")).alias("n"), "page_number", "block_id", "type", "text")
 
 
 def nested(frames: dict[str, DataFrame]) -> DataFrame:

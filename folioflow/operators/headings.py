@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import numbering_depth, strip
+from folioflow.session import saved
 
 #: Fixed: sizes closer than this to the largest of their rank share it.
 TOLERANCE = 0.6
@@ -48,53 +49,65 @@ def assign_levels(headings: DataFrame) -> DataFrame:
     return ranked.withColumn("_own", own).withColumn("level", F.coalesce(F.last("_own", ignorenulls=True).over(before), F.lit(1)).cast("int")).select(*headings.columns, "level")
 
 
+def _deepest(leveled: DataFrame) -> int:
+    return leveled.agg(F.max("level")).first()[0] or 0
+
+
 def build_sections(leveled: DataFrame) -> DataFrame:
     """The section tree: section_id, title, level, parent_section_id, path, heading_block_id, page_start.
 
-    A stack per document, folded over its headings in order: what is above the
-    level is popped, the top is the parent.
+    Running windows keep the last heading of each level, of which there are few.
+    A heading's parent is the latest of those above its level; the ancestors are
+    those of ever smaller level, from the latest back.  No document is gathered
+    into one row, however many headings it has.
     """
-    rows = leveled.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("i", "level", strip(F.col("text")).alias("title"), "block_id", "page_number"))).alias("hs"))
-    item = "struct<i:int,level:int,title:string>"
-    done = "struct<i:int,parent:int,path:array<string>,level:int,title:string,block_id:string,page_number:int>"
-    fold = F.expr(
-        f"""aggregate(hs, cast(struct(array() as stack, array() as out) as struct<stack:array<{item}>,out:array<{done}>>),
-        (a, h) -> cast(struct(
-            concat(filter(a.stack, s -> s.level < h.level), array(struct(h.i as i, h.level as level, h.title as title))) as stack,
-            concat(a.out, array(struct(h.i as i,
-                try_element_at(filter(a.stack, s -> s.level < h.level), -1).i as parent,
-                concat(transform(filter(a.stack, s -> s.level < h.level), s -> s.title), array(h.title)) as path,
-                h.level as level, h.title as title, h.block_id as block_id, h.page_number as page_number))) as out)
-          as struct<stack:array<{item}>,out:array<{done}>>),
-        a -> a.out)"""
-    )
-    flat = rows.select("doc_id", F.inline(fold))
-    return flat.select(
-        "doc_id", "i", F.format_string("s%03d", "i").alias("section_id"), "title", "level", F.when(F.col("parent").isNotNull(), F.format_string("s%03d", "parent")).alias("parent_section_id"),
-        "path", F.col("block_id").alias("heading_block_id"), F.col("page_number").alias("page_start"),
+    leveled = saved(leveled.select("doc_id", "i", "level", strip(F.col("text")).alias("title"), "block_id", "page_number"))
+    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    seen = [F.last(F.when(F.col("level") == n, F.struct("i", "level", "title")), ignorenulls=True).over(before) for n in range(1, _deepest(leveled))]
+    kind = "array<struct<i:int,level:int,title:string>>"
+    above = F.array_compact(F.array(*seen)).cast(kind) if seen else F.array().cast(kind)
+    rows = leveled.withColumn("_above", above).withColumn("_above", F.sort_array(F.filter("_above", lambda x: x["level"] < F.col("level")), asc=False))
+    chain = F.expr(f"aggregate(_above, cast(array() as {kind}), (a, x) -> if(size(a) = 0 or x.level < a[size(a) - 1].level, concat(a, array(x)), a))")
+    tree = rows.withColumn("_chain", chain)
+    parent = F.get("_chain", 0)["i"]
+    return tree.select(
+        "doc_id", "i", F.format_string("s%03d", "i").alias("section_id"), "title", "level", F.when(parent.isNotNull(), F.format_string("s%03d", parent)).alias("parent_section_id"),
+        F.concat(F.transform(F.reverse("_chain"), lambda x: x["title"]), F.array("title")).alias("path"), F.col("block_id").alias("heading_block_id"), F.col("page_number").alias("page_start"),
     )
 
 
 def section_of_blocks(ordered: DataFrame, sections: DataFrame) -> DataFrame:
-    """The blocks with section_id: the last heading at or before them in emit order, across pages."""
-    starts = sections.select("doc_id", F.col("heading_block_id").alias("block_id"), "section_id")
-    so_far = Window.partitionBy("doc_id").orderBy("page_number", "emit_index").rowsBetween(Window.unboundedPreceding, 0)
-    joined = ordered.join(starts.withColumnRenamed("section_id", "_s"), ["doc_id", "block_id"], "left")
-    return joined.withColumn("section_id", F.last("_s", ignorenulls=True).over(so_far)).drop("_s")
+    """The blocks with section_id: the last heading at or before them in emit order, across pages.
+
+    Within a page by a window over the page, from earlier pages by a window over
+    one row per page.
+    """
+    starts = sections.select("doc_id", F.col("heading_block_id").alias("block_id"), F.col("section_id").alias("_s"))
+    joined = ordered.join(starts, ["doc_id", "block_id"], "left")
+    on_page = Window.partitionBy("doc_id", "page_number").orderBy("emit_index").rowsBetween(Window.unboundedPreceding, 0)
+    here = joined.withColumn("_here", F.last("_s", ignorenulls=True).over(on_page))
+    lasts = sections.groupBy("doc_id", F.col("page_start").alias("page_number")).agg(F.max("i").alias("_i"))
+    earlier = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    pages = ordered.select("doc_id", "page_number").distinct().join(lasts, ["doc_id", "page_number"], "left").withColumn("_before", F.last("_i", ignorenulls=True).over(earlier)).select("doc_id", "page_number", "_before")
+    carried = F.when(F.col("_before").isNotNull(), F.format_string("s%03d", "_before"))
+    return here.join(pages, ["doc_id", "page_number"]).withColumn("section_id", F.coalesce("_here", carried)).drop("_s", "_here", "_before")
 
 
 def section_pages(sections: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The sections with page_end: the last page of their blocks and of the sections below them."""
+    """The sections with page_end: the last page of their blocks and of the sections below them.
+
+    Below a section lies all up to the next of its level or above; pages only
+    grow along the document, so its end is that of the last one below it.
+    """
     own = blocks.filter("section_id is not null").groupBy("doc_id", "section_id").agg(F.max("page_number").alias("own_end"))
-    ends = sections.join(own, ["doc_id", "section_id"], "left").withColumn("own_end", F.greatest(F.col("page_start"), F.coalesce("own_end", F.col("page_start"))))
-    # a section lies below each whose range of numbers up to the next of its level or above holds it
-    order = Window.partitionBy("doc_id").orderBy("i")
-    rows = ends.withColumn("_all", F.collect_list(F.struct("i", "level", "own_end")).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    below = F.expr("slice(_all, 2, size(_all))")
-    stop = F.expr("coalesce(array_position(transform(slice(_all, 2, size(_all)), x -> x.level <= level), true), 0)")
-    inside = F.when(stop > 0, F.slice(below, F.lit(1), (stop - 1).cast("int"))).otherwise(below)
-    page_end = F.greatest(F.col("own_end"), F.coalesce(F.array_max(F.transform(inside, lambda x: x["own_end"])), F.col("own_end")))
-    return rows.withColumn("page_end", page_end.cast("int")).drop("_all", "own_end")
+    sections = saved(sections)
+    after = Window.partitionBy("doc_id").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
+    nexts = [F.when(F.col("level") >= n, F.min(F.when(F.col("level") == n, F.col("i"))).over(after)) for n in range(1, _deepest(sections) + 1)]
+    stop = F.array_min(F.array_compact(F.array(*nexts))) if nexts else F.lit(None).cast("int")
+    last = sections.groupBy("doc_id").agg(F.max("i").alias("_last"))
+    spans = sections.withColumn("_stop", stop).join(last, "doc_id").withColumn("_to", F.coalesce(F.col("_stop") - 1, F.col("_last")))
+    ends = sections.select("doc_id", F.col("i").alias("_to"), "section_id", "page_start").join(own, ["doc_id", "section_id"], "left").select("doc_id", "_to", F.greatest(F.col("page_start"), F.coalesce("own_end", F.col("page_start"))).cast("int").alias("page_end"))
+    return spans.join(ends, ["doc_id", "_to"]).drop("_stop", "_last", "_to")
 
 
 def without_headings(ordered: DataFrame, sections: DataFrame) -> DataFrame:
