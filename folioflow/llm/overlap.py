@@ -3,12 +3,14 @@
 Questions are brought to one form (look-alikes folded, lower case, words only),
 and copies to one representative.  The representatives of dev and test are
 spread over shards of bounded size; each shard is held as a full-text index
-(suffix array and a rank structure of its Burrows-Wheeler transform).  Training
-texts stream through it: from the end of every word a backward search is
-extended until the match is selective, at most ``SELECTIVE`` places of the
-shard, or until it holds the whole beginning of the text.  The places of all
-such matches are merged into counts per pair of texts; pairs that agree in
-their numbers are then compared word by word.
+(suffix array and a rank structure of its Burrows-Wheeler transform), and so is
+a slice of the training texts.  Training
+and evaluation texts are searched for in each other: of two equal questions, one
+has a counterpart in the other for each of its words that isn't small (the same,
+mistyped, or one word for two), and their numbers are equal.  Backward searches
+find all places of the counterparts; the places of the rarest are followed up
+wherever the other words and the numbers are too, without a limit, and the pairs
+that remain are compared word by word.
 
 Two questions are the same if, up to typing errors (a letter lost, doubled or
 swapped with the next), their words are the same in whatever order, but for
@@ -38,8 +40,8 @@ from pyspark.sql import functions as F
 from folioflow.functions.charmap import mappings
 from folioflow.session import distinct_rows, saved, table
 
-#: Places at which a match is selective enough to be followed up.
-SELECTIVE = 48
+#: Places followed up at a time, about; all are.
+PLACES = 2_000_000
 #: Distinct evaluation texts of a shard and training texts of a slice, about.
 SHARD, SLICE = 60_000, 12_000
 #: Fixed: words that may come, go or be exchanged within a question.
@@ -107,34 +109,97 @@ def _suffix_array(codes: np.ndarray, longest: int) -> np.ndarray:
             return order
 
 
-def candidates(index: Index, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a position in ``texts`` and one in the index's texts that share a selective match."""
-    joined = "\0".join(texts) + "\0"
-    codes = index.code(np.frombuffer(joined.encode("utf-32-le"), np.uint32))
-    symbols = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    ends = np.flatnonzero((symbols == 32) | (symbols == 0))
-    ends = ends[(ends > 0)]
-    owner = np.cumsum(symbols == 0) - (symbols == 0)
-    starts = np.concatenate([[0], np.flatnonzero(symbols == 0)[:-1] + 1])
-    lengths = np.array([len(t) for t in texts])
-    at, text = ends.copy(), owner[ends]
-    low, high = np.zeros(len(at), np.int64), np.full(len(at), index.size, np.int64)
-    end = ends
-    while len(at):
-        begun = at == starts[text]
-        wide = high - low > SELECTIVE
-        # the whole beginning of the text, most of it, at many places: followed up all the same
-        emit = (~wide) | (begun & (end - starts[text] >= 0.6 * lengths[text]))
-        if emit.any():
-            first, count = low[emit], (high - low)[emit]
-            rows = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            yield np.repeat(text[emit], count), index.texts_of(rows)
-        go = wide & ~begun
-        at, text, low, high, end = at[go] - 1, text[go], low[go], high[go], end[go]
-        code = codes[at]
-        low, high = index.left(code, low, high)
-        alive = (high > low) & (code >= 0)
-        at, text, low, high, end = at[alive], text[alive], low[alive], high[alive], end[alive]
+def _shortened(word: str) -> set[str]:
+    """The word with a letter lost; words that are mistyped of each other share one of these or are one."""
+    return {word[:i] + word[i + 1 :] for i in range(len(word))} if len(word) > 2 else set()
+
+
+class Words:
+    """The whole words of texts, with the texts that hold a counterpart of a word, by search in their index."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.index = Index([f" {t} " for t in texts])
+        self.size = len(texts)
+        self.known = {w for t in texts for w in t.split()}
+        self.near: dict[str, list[str]] = {}
+        for word in self.known:
+            for key in (word, *_shortened(word)):
+                self.near.setdefault(key, []).append(word)
+
+    def counterparts(self, word: str) -> set[str]:
+        """The word, what it is mistyped of, and the two words it is written as, as far as any text has them."""
+        near = {v for key in (word, *_shortened(word)) for v in self.near.get(key, ()) if v == word or _mistyped(word, v)}
+        return near | {f"{word[:i]} {word[i:]}" for i in range(1, len(word)) if word[:i] in self.known and word[i:] in self.known}
+
+    def places(self, patterns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of suffixes that begin with the patterns, as whole words."""
+        symbols = [self.index.code(np.frombuffer(f" {p} ".encode("utf-32-le"), np.uint32)) for p in patterns]
+        lengths = np.array([len(x) for x in symbols], np.int64)
+        codes, first = np.concatenate(symbols), np.cumsum(lengths) - lengths
+        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.index.size, np.int64)
+        for step in range(1, int(lengths.max()) + 1):
+            on = np.flatnonzero((lengths >= step) & (high > low))
+            code = codes[first[on] + lengths[on] - step]
+            low[on], high[on] = self.index.left(code, low[on], high[on])
+            high[on[code < 0]] = low[on[code < 0]]
+        return low, high
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each of count."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def candidates(words: Words, numbers: np.ndarray, texts: list[str], own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a position in ``texts`` and one in the indexed texts that holds counterparts of all words of the former.
+
+    No pair is left out: numbers are equal, and every other word that isn't
+    small has a counterpart.  Of these conditions the rarest is followed up at
+    all its places, and the rest are asked of them.
+    """
+    asked: dict[tuple, int] = {}
+    of: list[list[int]] = []
+    for text in texts:
+        split, mine = text.split(), set()
+        for i, word in enumerate(split):
+            if word in SMALL or any(c.isdigit() for c in word):
+                continue
+            # two words written as one there
+            joined = [x for x in (split[i - 1] + word if i else "", word + split[i + 1] if i + 1 < len(split) else "") if x in words.known]
+            mine.add(asked.setdefault((word, *joined), len(asked)))
+        of.append(sorted(mine))
+    patterns = [(k, p) for (word, *joined), k in asked.items() for p in words.counterparts(word).union(joined)]
+    kinds, held = np.unique(np.concatenate([numbers, own]), return_inverse=True)
+    held, wanted = held[: len(numbers)], held[len(numbers) :]
+    # condition * size + text, sorted: the texts of each condition; equal numbers are the last conditions
+    holds = [(len(asked) + held) * words.size + np.arange(words.size)]
+    if patterns:
+        low, high = words.places([p for _, p in patterns])
+        condition = np.repeat(np.array([k for k, _ in patterns], np.int64), high - low)
+        holds.append(condition * words.size + words.index.texts_of(_spread(low, high - low)))
+    holding = np.unique(np.concatenate(holds))
+    bounds = np.searchsorted(holding, np.arange(len(asked) + len(kinds) + 1) * words.size)
+    count = np.diff(bounds)
+    ordered = [np.array(sorted((*mine, len(asked) + wanted[i]), key=lambda k: count[k]), np.int64) for i, mine in enumerate(of)]
+    total = np.cumsum([count[o[0]] for o in ordered])
+    begin = 0
+    while begin < len(ordered):
+        # as many texts as have PLACES places together, one at least
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + PLACES, side="right")))
+        some = ordered[begin:end]
+        rarest = np.array([o[0] for o in some])
+        at = np.repeat(np.arange(len(some)), count[rarest])
+        text = holding[_spread(bounds[rarest], count[rarest])] % words.size
+        n_conditions = np.array([len(o) for o in some])
+        flat, first = np.concatenate(some), np.cumsum(n_conditions) - n_conditions
+        for j in range(1, int(n_conditions.max())):
+            has = n_conditions[at] > j
+            key = flat[np.where(has, first[at] + j, 0)] * words.size + text
+            place = np.minimum(np.searchsorted(holding, key), len(holding) - 1)
+            keep = ~has | (holding[place] == key)
+            at, text = at[keep], text[keep]
+        yield at + begin, text
+        begin = end
 
 
 def _mistyped(a: str, b: str) -> bool:
@@ -198,20 +263,19 @@ def search(training: list[str], evaluation: list[str]) -> list[tuple[str, str]]:
     """The pairs of equal questions of two lists of distinct normal forms."""
     if not training or not evaluation:
         return []
-    index = Index(evaluation)
-    numbers = np.array([_numbers(t) for t in evaluation])
+    sides = Words(evaluation), Words(training)
+    numbers = [np.array([_numbers(t) for t in texts]) for texts in (evaluation, training)]
+    pairs_ = []
+    # either question may be the one without further words around it
+    for a, b in candidates(sides[0], numbers[0], training, numbers[1]):
+        pairs_.append(a * len(evaluation) + b)
+    for b, a in candidates(sides[1], numbers[1], evaluation, numbers[0]):
+        pairs_.append(a * len(evaluation) + b)
     out = []
-    for begin in range(0, len(training), 4000):
-        batch = training[begin : begin + 4000]
-        own = np.array([_numbers(t) for t in batch])
-        kept = []
-        for a, b in candidates(index, batch):
-            agree = own[a] == numbers[b]
-            kept.append(np.unique(a[agree].astype(np.int64) * len(evaluation) + b[agree]))
-        for pair in np.unique(np.concatenate(kept)) if kept else ():
-            x, y = batch[pair // len(evaluation)], evaluation[pair % len(evaluation)]
-            if same_question(x.split(), y.split()):
-                out.append((x, y))
+    for pair in np.unique(np.concatenate(pairs_)).tolist():
+        x, y = training[pair // len(evaluation)], evaluation[pair % len(evaluation)]
+        if same_question(x.split(), y.split()):
+            out.append((x, y))
     return out
 
 
