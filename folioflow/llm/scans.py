@@ -8,15 +8,16 @@ Words.  The de-lined character stream of a block is decoded: a token is read as
 the word, as a word with misrecognised characters (a fixed table of
 confusions), as a word cut by a mark at the end of a line or block, as two words
 run together or one word in two; the reading with the highest probability under
-the corpus' own word counts wins.  Readings are memoised, so each distinct token
-is decoded once a worker.
+the corpus' own word counts wins.  Each distinct token is decoded once.
 
 Paragraphs.  Within a page, boundaries between lines and blocks are chosen by
 dynamic programming over the costs of breaking (in mid sentence) and of joining
 (across a full stop, a heading, a bullet).
 
-The lexicon holds the ``LEXICON`` most frequent words of the whole corpus, a
-bounded broadcast; counts are taken over all texts.
+The lexicon holds every word of the corpus seen twice or more, without a cap (a
+word seen once is the token that asks, and no evidence).  It stays in Spark: the
+distinct tokens ask for the counts of their variants by a join, and only the
+answers that change a text are broadcast.
 
 Edge cases: null and blank texts have no defects; tables are left out; a block
 sent twice counts once; a block without a box is judged by its shape alone.
@@ -36,8 +37,6 @@ from pyspark.sql import functions as F
 from folioflow.functions.charmap import mappings
 from folioflow.session import distinct_rows, parallelism, saved, table
 
-#: Words of the lexicon, the most frequent of the corpus.
-LEXICON = 200_000
 #: Fixed: misrecognised characters and what they stand for.
 CONFUSIONS = (
     ("0", "o"), ("1", "l"), ("1", "i"), ("!", "i"), ("!", "l"), ("|", "l"), ("|", "i"), ("5", "s"), ("8", "b"), ("9", "g"), ("6", "b"), ("†", "t"), ("£", "f"), ("€", "e"),
@@ -131,6 +130,116 @@ class Reader:
         return (token[: best[1]], token[best[1] :]) if best[0] >= 50 else None
 
 
+    def token(self, token: str, name: bool = False) -> tuple[int, str | None, int]:
+        """(length of the word within the token, the word it is a misreading of, where it is two words: 0 for one)."""
+        core = token.rstrip("!|€£") if self.counts.get(token.rstrip("!|€£†").lower(), 0) else token
+        if not any(c.isalpha() for c in core):
+            return len(core), None, 0
+        # fixed forms of a letter or two with digits (5G, CO2) and short capitals are no words
+        if any(c.isdigit() for c in core) and sum(c.isalpha() for c in core) < 3 and sum(c.isdigit() for c in core) >= 1 and len(core) < 4:
+            return len(core), None, 0
+        word = self.reading(core, name)
+        parts = None if word else self.split(core)
+        return len(core), word, len(parts[0]) if parts else 0
+
+    def bracket(self, token: str) -> bool:
+        """Whether the bracket in a token is a misread c."""
+        return self.counts.get(token.replace("(", "c").lower(), 0) >= 3 and not self.counts.get(token.partition("(")[2].lower(), 0)
+
+
+def _plain(token: str) -> str:
+    lower = token.lower()
+    return lower if len(lower) == len(token) else token
+
+
+class Asking:
+    """A reader that notes what is asked of it; cuts are answered by turns, so that any two neighbours are met in all ways."""
+
+    def __init__(self) -> None:
+        self.asked: set[tuple[str, str]] = set()
+        self.sound: set[str] = set()
+
+    def ask(self, text: str, following: str | None, continued: bool) -> None:
+        """Notes all that decoding a text can ask, whatever the answers."""
+        turns = [(True, True)]
+        for turn in turns:
+            self.turn, self.cuts, self.brackets, self.is_c = turn, 0, 0, False
+            decode(self, text, following, continued)
+            if self.brackets:
+                self.is_c, self.cuts = True, 0
+                decode(self, text, following, continued)
+            if turn == (True, True) and self.cuts:
+                turns += [(False, False)] if self.cuts == 1 and "(" not in text else [(False, False), (True, False), (False, True)]
+
+    def joined(self, left: str, right: str) -> bool:
+        self.asked.add(("cut", f"{left} {right}"))
+        self.cuts += 1
+        return self.turn[self.cuts % 2]
+
+    def bracket(self, token: str) -> bool:
+        self.asked.add(("bracket", token))
+        self.brackets += 1
+        return self.is_c
+
+    def token(self, token: str, name: bool = False) -> tuple[int, str | None, int]:
+        self.asked.add(("word", _plain(token)))
+        return len(token), None, 0
+
+
+class Answers:
+    """A reader of answers given before; what has none changes nothing."""
+
+    def __init__(self, rows: list) -> None:
+        self.sound: set[str] = set()
+        self.yes = {(r["kind"], r["key"]) for r in rows if r["kind"] != "word"}
+        self.words = {r["key"]: (r["size"], r["word"], r["named"], r["parts"]) for r in rows if r["kind"] == "word"}
+
+    def joined(self, left: str, right: str) -> bool:
+        return ("cut", f"{left} {right}") in self.yes
+
+    def bracket(self, token: str) -> bool:
+        return ("bracket", token) in self.yes
+
+    def token(self, token: str, name: bool = False) -> tuple[int, str | None, int]:
+        size, word, named, parts = self.words.get(_plain(token), (len(token), None, None, 0))
+        return size, named if name else word, 0 if word and not name or named and name else parts
+
+
+class _Noted(dict):
+    """Counts that note the words they are asked for."""
+
+    def __init__(self, known: dict[str, int]) -> None:
+        super().__init__(known)
+        self.asked: set[str] = set()
+
+    def get(self, key, default=None):
+        self.asked.add(key)
+        return super().get(key, default)
+
+
+def _wanted(reader: Reader, kind: str, key: str, own: int | None) -> set[str]:
+    """The words whose counts an answer can depend on."""
+    reader.counts, reader.memo = _Noted({key: own} if own else {}), {}
+    if kind == "cut":
+        reader.joined(*key.split(" "))
+    elif kind == "bracket":
+        reader.bracket(key)
+        reader.counts.asked.add(key.partition("(")[2].lower())
+    else:
+        for token in {key, key.rstrip("!|€£"), key.rstrip("!|€£†")} - {""}:
+            reader.token(token)
+    return reader.counts.asked
+
+
+def _answer(reader: Reader, kind: str, key: str, counts: dict[str, int]) -> tuple[int, str | None, str | None, int] | None:
+    """(size, word, word where a name is likely, length of the first of two words), None if nothing changes."""
+    reader.counts, reader.memo = counts, {}
+    if kind != "word":
+        return (0, None, None, 0) if (reader.joined(*key.split(" ")) if kind == "cut" else reader.bracket(key)) else None
+    (size, word, parts), (_, named, parts_named) = reader.token(key), reader.token(key, True)
+    return (size, word, named, parts or parts_named) if word or named or parts or parts_named else None
+
+
 def _figure_misread(figure: str) -> str | None:
     """The figure meant, if letters stand among its digits; None if it is none or sound."""
     digits = sum(c.isdigit() for c in figure)
@@ -199,31 +308,23 @@ def decode(reader: Reader, text: str, following: str | None, continued: bool) ->
         token = m.group()
         if token in reader.sound or m.start() < begin or m.start() >= end:
             return token
-        core = token.rstrip("!|€£") if reader.counts.get(token.rstrip("!|€£†").lower(), 0) else token
-        if not any(c.isalpha() for c in core):
-            return token
-        # fixed forms of a letter or two with digits (5G, CO2) and short capitals are no words
-        if any(c.isdigit() for c in core) and sum(c.isalpha() for c in core) < 3 and sum(c.isdigit() for c in core) >= 1 and len(core) < 4:
-            return token
         around = stream[m.start() - 1 : m.start()] + stream[m.end() : m.end() + 1]
-        name = core[0].isupper() and "-" in around
-        word = reader.reading(core, name)
+        name = token[0].isupper() and "-" in around
+        size, word, parts = reader.token(token, name)
         if word:
             misread = True
-            return _restore(core, word) + token[len(core) :]
-        parts = reader.split(core)
+            return _restore(token[:size], word) + token[size:]
         if not parts and not name and len(reader.sound) < MEMO:
             reader.sound.add(token)
-        return " ".join(parts) + token[len(core) :] if parts else token
+        return f"{token[:parts]} {token[parts:]}" if parts else token
 
     def unparen(m: re.Match) -> str:
         # a bracket read for a c: only within a word, or where no bracket closes
         nonlocal misread
         token = m.group()
-        word = token.replace("(", "c")
-        if m.start() < end and reader.counts.get(word.lower(), 0) >= 3 and not reader.counts.get(token.partition("(")[2].lower(), 0):
+        if m.start() < end and reader.bracket(token):
             misread = True
-            return word
+            return token.replace("(", "c")
         return token
 
     fixed = _TOKEN.sub(read, _PAREN.sub(unparen, stream) if "(" in stream else stream)
@@ -303,17 +404,50 @@ def furniture(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
 # the whole ---------------------------------------------------------------------
 
 
-def lexicon(blocks: DataFrame) -> dict[str, int]:
-    """Counts of the most frequent words and compounds of all texts."""
+def lexicon(blocks: DataFrame) -> DataFrame:
+    """word and n, the counts of all words and compounds of all texts, from two on."""
     uncut = F.regexp_replace(F.lower("text"), rf"(?<![\p{{L}}\d])[\p{{L}}\d]++[{MARKS}][ \t\r]*(?:\n\s*[\p{{L}}\d]+|\s*$)", " ")
     words = blocks.select(F.explode(F.regexp_extract_all(uncut, F.lit(r"(?<![\p{L}\d!|†£])\p{L}+(?:-\p{L}+)*(?![\p{L}\d!|†£])"), F.lit(0))).alias("word"))
     both = words.select(F.explode(F.when(F.col("word").contains("-"), F.concat(F.array("word"), F.split("word", "-"))).otherwise(F.array("word"))).alias("word"))
-    # bounded by LEXICON
-    top = both.groupBy("word").agg(F.count("*").alias("n")).filter("n >= 2").orderBy(F.desc("n"), "word").limit(LEXICON)
-    return {r["word"]: r["n"] for r in top.collect()}
+    return both.groupBy("word").agg(F.count("*").cast("int").alias("n")).filter("n >= 2")
 
 
-_readers: dict[int, Reader] = {}
+def answers(ready: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+    """kind, key, size, word, named and parts of all that is asked in decoding and changes a text."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asking = Asking()
+        for batch in batches:
+            for text, following, continued in zip(*(c.to_pylist() for c in batch.columns)):
+                asking.ask(text, following, continued)
+            rows = sorted(asking.asked)
+            asking.asked = set()
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["kind", "key"])
+
+    def want(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader({})
+        for batch in batches:
+            out = [(kind, key, word) for kind, key, own in zip(*(c.to_pylist() for c in batch.columns)) for word in sorted(_wanted(reader, kind, key, own))]
+            for begin in range(0, max(1, len(out)), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out[begin : begin + 50_000]], pa.string()) for i in (0, 1, 2)], ["kind", "key", "word"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader({})
+        for batch in batches:
+            rows = [(kind, key, _answer(reader, kind, key, {e["word"]: e["n"] for e in seen or ()})) for kind, key, seen in zip(*(c.to_pylist() for c in batch.columns))]
+            rows = [(kind, key, *found) for kind, key, found in rows if found]
+            types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["kind", "key", "size", "word", "named", "parts"])
+
+    asked = ready.filter("body is not null").select("body", "next", "continued").mapInArrow(ask, "kind string, key string").distinct()
+    own = counts.withColumnRenamed("word", "key").withColumn("kind", F.lit("word"))
+    # how often a token itself is seen decides whether its variants of two steps are wanted
+    known = saved(asked.join(own, ["kind", "key"], "left").repartition(n, "kind", "key"))
+    wanted = known.mapInArrow(want, "kind string, key string, word string")
+    seen = wanted.join(counts, "word").groupBy("kind", "key").agg(F.collect_list(F.struct("word", "n")).alias("seen"))
+    # a cut is asked even of words that no text has
+    given = known.select("kind", "key").join(seen, ["kind", "key"], "left").filter("kind = 'cut' or seen is not null")
+    return given.select("kind", "key", "seen").mapInArrow(answer, "kind string, key string, size int, word string, named string, parts int")
 
 
 def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,13 +455,14 @@ def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = saved(_blocks(spark, sf_dir))
     whole, inside = furniture(blocks)
     drop = inside.groupBy("block_key").agg(F.collect_set("line").alias("drop"))
-    counts = lexicon(blocks)
-    sent = spark.sparkContext.broadcast(counts)
+    counts = saved(lexicon(blocks))
     typed = F.coalesce(F.col("type").isin("page_header", "page_footer"), F.lit(False))
     marked = blocks.join(whole.withColumn("one", F.lit(True)), "block_key", "left").join(drop, "block_key", "left")
     marked = marked.withColumn("is_furniture", typed | F.col("one").isNotNull())
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: F.col("drop").isNull() | ~F.array_contains("drop", i)), "\n")
     body = marked.withColumn("body", F.when(F.col("is_furniture"), None).otherwise(F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept)))
+    # decoding is work beside its bytes, so its partitions must not be coalesced by size
+    body = body.repartition(2 * parallelism(spark), "doc_id", "page_number")
     # what comes next within the page, or at the head of the next page
     on_page = Window.partitionBy("doc_id", "page_number").orderBy("is_furniture", "block_ord")
     around = body.withColumn("next", F.lead(F.substring("body", 1, 60)).over(on_page)).withColumn("before", F.lag(F.expr("right(body, 60)")).over(on_page))
@@ -340,15 +475,12 @@ def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
         "block_key", "doc_id", "page_number", "block_ord", "type", "is_furniture", F.col("drop").isNotNull().alias("has_line"), "body",
         F.coalesce("next", "next_head").alias("next"), F.coalesce(F.coalesce("before", "last_foot").rlike(tail), F.lit(False)).alias("continued"),
     )
-    size = len(counts)
-    ready = ready.repartition(2 * parallelism(spark), "block_key")
+    ready = saved(ready)
+    # the answers that change a text, no more than there are distinct misread, cut and joined words
+    sent = spark.sparkContext.broadcast(answers(ready, counts, 2 * parallelism(spark)).collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash((size, sum(sent.value.values())))
-        reader = _readers.get(key)
-        if reader is None:
-            _readers.clear()
-            reader = _readers[key] = Reader(sent.value)
+        reader = Answers(sent.value)
         for batch in batches:
             names = batch.schema.names
             data = {n: batch.column(i) for i, n in enumerate(names)}

@@ -53,3 +53,31 @@ def test_paragraphs():
     lines = [("Leases", True, True), ("The amount of", True, False), ("revenue is long.", False, False), ("And the position", True, False), ("is goodwill.", True, False)]
     assert scans.paragraphs_of(lines) == ["Leases", "The amount of revenue is long.", "And the position is goodwill."]
     assert scans.paragraphs_of([]) == []
+
+
+def test_answers_asked_for_equal_the_whole_lexicon():
+    texts = ["the agree-\nment is con-\ntract am0unt", "ab-\nc(de-\nfg in(ome", "long-\nterm po5ition-", "iricome goodwillamount in(ome Clamar-Damar", "arnount!| impairrnent| 5G İricome", "agree-"]
+    counts, reader = COUNTS | {"income": 500, "abcdefg": 9, "amountgoodwill": 0}, scans.Reader({})
+    asking = scans.Asking()
+    for text in texts:
+        asking.ask(text, "ment is", False)
+    rows = []
+    for kind, key in asking.asked:
+        wanted = scans._wanted(reader, kind, key, counts.get(key))
+        found = scans._answer(reader, kind, key, {w: counts[w] for w in wanted if counts.get(w)})
+        if found:
+            rows.append(dict(zip(("kind", "key", "size", "word", "named", "parts"), (kind, key, *found))))
+    for text in texts:
+        assert scans.decode(scans.Answers(rows), text, "ment is", False) == scans.decode(scans.Reader(counts), text, "ment is", False), text
+
+
+def test_no_word_is_beyond_the_lexicon(spark, tmp_path):
+    # 200,100 words seen three times each, and one seen twice beside a neighbour seen 15 times
+    many = ["".join("agkpqsxyz"[i // 9**k % 9] for k in range(6)) for i in range(200_100)]
+    texts = [" ".join(many[i : i + 300]) for i in range(0, len(many), 300)] * 3 + ["contract"] * 15 + ["contraet", "the contraet is"]
+    blocks = [(i, "d", 1, i, "text", t) for i, t in enumerate(texts)]
+    schema = "block_key bigint, doc_id string, page_number int, block_ord int, type string, text string"
+    box = "named_struct('x0', 0d, 'y0', 400d, 'x1', 9d, 'y1', 410d) as bbox"
+    spark.createDataFrame(blocks, schema).selectExpr("*", box, "10d as font_size", "timestamp'2020-01-01' as ingested_at").write.parquet(f"{tmp_path}/raw_blocks.parquet")
+    spark.sql("select 'd' as doc_id, 1 as page_number, 800d as height, timestamp'2020-01-01' as ingested_at").write.parquet(f"{tmp_path}/raw_pages.parquet")
+    assert scans.found(spark, str(tmp_path)).filter(f"block_key >= {len(texts) - 2}").count() == 0
