@@ -55,6 +55,8 @@ _FOLD = {ord(a): b for a, b, _ in mappings()}
 _TOKEN = re.compile(r"[\w!|†£€]+")
 _PAREN = re.compile(r"(?<![^\W_])[^\W_]*+\([^\W\d_]{2,}+(?![\w]*\))")
 _FIGURE = re.compile(r"(?<![\w.,!|-])[$€£¥₹]?\s?([\dOolISsBZGg!|]++(?:[.,][\dOolISsBZGg!|]++)*+)(?=%|[.,;:)]?(?:\s|$)|[.,;:)])")
+#: What may follow a figure and says that it is one.
+_MAGNITUDE = re.compile(r"\s?%|\s(?:percent|per cent|Prozent|thousand|million|billion|trillion|Tausend|Mio|Mrd|Million(?:en)?|Milliarden?|mill(?:ier|ion|iard)s?|mil|mill(?:ón|ones))\b")
 _CUT = re.compile(rf"(?<![\w!|†£])([\w!|†£]++)[{MARKS}][ \t\r]*\n[ \t]*([^\W_][\w!|†£]*)")
 _TAIL = re.compile(rf"(?<![\w!|†£])([\w!|†£]++)[{MARKS}]\s*$")
 _HEAD = re.compile(r"^\s*([^\W_][\w!|†£]*)")
@@ -240,8 +242,12 @@ def _answer(reader: Reader, kind: str, key: str, counts: dict[str, int]) -> tupl
     return (size, word, named, parts or parts_named) if word or named or parts or parts_named else None
 
 
-def _figure_misread(figure: str) -> str | None:
-    """The figure meant, if letters stand among its digits; None if it is none or sound."""
+def _figure_misread(figure: str, money: bool = False, measured: bool = False) -> str | None:
+    """The figure meant, if letters stand among its digits; None if it is none or sound.
+
+    ``money`` says that a currency sign stands before it, ``measured`` that a
+    magnitude or percent follows; either makes it a figure, whatever its letters.
+    """
     digits = sum(c.isdigit() for c in figure)
     letters = [c for c in figure if c in DIGITS]
     # the zeros of a magnitude (000s) are no figure
@@ -255,9 +261,13 @@ def _figure_misread(figure: str) -> str | None:
             return None
         if size == 2 and (figure[0] == "O" or figure[1] == "l"):
             return None
-        if size >= 3 and digits * 2 < size or size > 4 and not set(letters) <= set("OlI"):
+        if size >= 3 and digits * 2 < size:
+            return None
+        # a last letter may be a unit ($36B, $20s), unless one follows
+        stated = measured or money and not (figure[-1] in "BGgsS" and figure[:-1].isdigit())
+        if size > 4 and not set(letters) <= set("OlI") and not stated:
             return None
-        if size == 3 and set(letters) & set("SsGgZB"):
+        if size == 3 and set(letters) & set("SsGgZB") and not stated:
             return None
     elif not all(1 <= len(p) <= 3 for p in parts):
         return None
@@ -331,7 +341,7 @@ def decode(reader: Reader, text: str, following: str | None, continued: bool) ->
 
     def amount(m: re.Match) -> str:
         nonlocal misread
-        meant = _figure_misread(m.group(1))
+        meant = _figure_misread(m.group(1), m.group()[0] in "$€£¥₹", bool(_MAGNITUDE.match(fixed, m.end())))
         if meant is None:
             return m.group()
         misread = True

@@ -81,3 +81,10 @@ def test_no_word_is_beyond_the_lexicon(spark, tmp_path):
     spark.createDataFrame(blocks, schema).selectExpr("*", box, "10d as font_size", "timestamp'2020-01-01' as ingested_at").write.parquet(f"{tmp_path}/raw_blocks.parquet")
     spark.sql("select 'd' as doc_id, 1 as page_number, 800d as height, timestamp'2020-01-01' as ingested_at").write.parquet(f"{tmp_path}/raw_pages.parquet")
     assert scans.found(spark, str(tmp_path)).filter(f"block_key >= {len(texts) - 2}").count() == 0
+
+
+def test_stated_figures():
+    for text, meant in {"$36B thousand": "$368 thousand", "$B87 thousand": "$887 thousand", "$59S thousand": "$595 thousand", "$3B2": "$382", "3S4 million": "354 million", "€12S45.": "€12545.", "12G%": "126%"}.items():
+        assert decode(text)[1:] == (True, meant), text
+    for text in ("$36B", "$20s", "B2B", "36B pages", "12S45", "5G million users"):
+        assert not decode(text)[1], text
