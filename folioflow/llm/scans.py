@@ -4,10 +4,10 @@ Furniture.  Short lines are reduced to a shape (numbers and names masked).  A
 shape that stands almost only in headers and footers, by type or by place on
 the page, is furniture wherever it stands; bare numbers also need the place.
 
-Words.  The de-lined character stream of a block is decoded: a token is read as
+Words.  The de-lined stream of a block is read token by token: a token is read as
 the word, as a word with misrecognised characters (a fixed table of
 confusions), as a word cut by a mark at the end of a line or block, as two words
-run together or one word in two; the reading with the highest probability under
+run together; a word broken by a space is not merged.  The reading with the highest probability under
 the corpus' own word counts wins.  Each distinct token is decoded once.
 
 Paragraphs.  Within a page, boundaries between lines and blocks are chosen by
