@@ -10,8 +10,8 @@ The figures of a row are the readings of one device, with the unit as hidden
 state: the states are the units stated anywhere for the row, an emission is the
 closest statement and, far weaker, the distance of the figure from the row's
 level on a logarithmic scale; a Viterbi pass decodes the units.  Statements
-outweigh any jump by construction, because amounts must follow what is stated;
-the level only decides between units stated equally close.
+outweigh any jump by construction, because amounts must follow what is stated:
+each cell has one, so the pass returns it and decides nothing.
 
 Amounts are exact: a figure is its digits and a power of ten, never a float.
 
