@@ -48,6 +48,12 @@ def furniture_key(text: Column) -> Column:
     return casefold(squeeze(F.regexp_replace(text, r"(?U)\d+", "#")))
 
 
+def split_kind(name: Column) -> Column:
+    """train, dev or test of a split's name however it is spelled, null of another."""
+    plain = F.regexp_replace(F.lower(name), r"(?U)[\s_-]+", "")
+    return F.when(plain == "train", "train").when(plain.isin("dev", "validation"), "dev").when(plain.isin("test", "testgold"), "test")
+
+
 def numbering_depth(text: Column) -> Column:
     """Depth of a heading's numbering, null if it has none."""
     return (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -41,17 +42,44 @@ def distinct_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.drop("ingested_at").dropDuplicates(keys)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one the cluster names in ``spark.checkpoint.dir``, removed with the application.
+
+    Only a local session may be without that setting (a test); it gets a
+    temporary folder.  On a cluster a folder of one machine would lose data.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = _temporary.setdefault(context.applicationId, tempfile.mkdtemp(prefix="folioflow-"))
+    path = f"{base.rstrip('/')}/{context.applicationId}-{name}-{uuid.uuid4().hex}"
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(file)
+    return path
+
+
+_temporary: dict[str, str] = {}
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the reliable checkpoint folder, its lineage cut.
+    """``df`` as a table in the shared folder, its lineage cut.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session without one (a test) gets a temporary folder.
+    Columnar and compressed, a fraction of a checkpoint of rows.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="folioflow-"))
-    return df.checkpoint(eager=True)
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, "saved")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def read_bytes(folder: str, column: str) -> bytes:
+    """The one value of a column of the table in ``folder``, read by a worker."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(folder)
+    return pq.read_table(path, columns=[column], filesystem=system, partitioning=None).column(column)[0].as_py()
 
 
 def parallelism(spark: SparkSession) -> int:
