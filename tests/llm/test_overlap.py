@@ -60,7 +60,7 @@ def test_search_misses_no_pair_of_common_words():
 
 def test_a_template_that_all_share_is_searched_in_full():
     # 66 evaluation questions with one tail, a training question equal to one of them plus a word before it
-    names = [f"{a}{b}" for a in "bcdfghjklmn" for b in "aeiouy"]
+    names = [f"{a}{b}{a}o" for a in "bcdfghjklmn" for b in "aeiouy"]
     held = [f"{n} revenue reported for the group in 2019" for n in names]
     assert O.search([f"q {held[40]}"], O.Shard(held)) == [(f"q {held[40]}", held[40])]
 
