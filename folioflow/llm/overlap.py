@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.charmap import mappings
 from folioflow.functions.text import split_kind
-from folioflow.session import distinct_rows, parallelism, read_bytes, saved, shared_folder, table
+from folioflow.session import distinct_rows, read_bytes, saved, shared_folder, table
 
 #: Distinct evaluation texts of a shard, and training texts looked up at a time, about.
 SHARD, BATCH = 200_000, 40_000
@@ -448,8 +448,9 @@ def pairs(questions: DataFrame, texts: int = SHARD) -> DataFrame:
         if waiting:
             yield look_up()
 
-    # searching is work beside its bytes, so its partitions must not be coalesced by size
-    train = questions.filter("split = 'train'").select("form").distinct().repartition(parallelism(spark), "form")
+    # searching is work beside its bytes: a fixed number of partitions is not coalesced by size
+    asked = questions.filter("split = 'train'").select("form")
+    train = asked.repartition(max(spark.sparkContext.defaultParallelism, -(-asked.count() // BATCH)), "form").distinct()
     return train.mapInArrow(run, "train_form string, eval_form string")
 
 
