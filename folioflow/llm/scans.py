@@ -37,6 +37,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -45,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.charmap import mappings
-from folioflow.session import saved, table
+from folioflow.session import parallelism, saved, table
 
 #: Fixed: misrecognised characters and what they stand for.
 CONFUSIONS = (
@@ -108,8 +109,10 @@ def ordinary(text: str) -> str:
 class Reader:
     """Edges of the lattice and their costs, under counts of words."""
 
-    def __init__(self, counts: dict[str, int], total: int = 0) -> None:
+    def __init__(self, counts: dict[str, int], total: int = 0, lengths: set[int] | None = None) -> None:
         self.known = counts
+        # the lengths that words have, for what none can be a misreading of
+        self.lengths = {len(w) for w in counts} if lengths is None else lengths
         self.extra: dict[str, int] = {}
         self.scale = math.log(max(total or sum(counts.values()), 1))
         self.singles: dict[tuple[str, bool], tuple[float, str, bool, bool]] = {}
@@ -137,6 +140,10 @@ class Reader:
         odd = not token.isalpha()
         if len(token) < 3 and not odd:
             return math.inf, None
+        # a confusion changes a length by one at most
+        size = len(token)
+        if self.lengths.isdisjoint(range(size - 2, size + 3)):
+            return math.inf, None
         unseen, ratio = (UNSEEN_NAME, NAME_RATIO) if name and not odd else (UNSEEN, ODD_RATIO if odd else RATIO)
         once = self.variants(token)
         best = max(((self.count(v), v) for v in once if v.isalpha()), default=(0, None))
@@ -410,11 +417,24 @@ class Block:
         self.single = "\n" not in text.strip(" ")
 
 
-def page_blocks(items: list[dict], height: float | None, zones: tuple[float, float]) -> list[Block]:
-    """The blocks of a page in order, each once."""
-    seen = {b["block_key"]: b for b in reversed(items)}
-    ordered = sorted(seen.values(), key=lambda b: (b["block_ord"] if b["block_ord"] is not None else -1, b["block_key"] if b["block_key"] is not None else -1))
-    return [Block(b["block_key"], b["block_ord"], b["type"], b["y"], b["font_size"], b["text"], height, zones) for b in ordered]
+Item = tuple[int, int, str, float, float, str]
+
+
+def page_blocks(items: list[Item], height: float | None, zones: tuple[float, float]) -> list[Block]:
+    """The blocks of a page in order, each once; an item has the fields of ``_pages``."""
+    seen = {b[0]: b for b in reversed(items)}
+    ordered = sorted(seen.values(), key=lambda b: (-1 if b[1] is None else b[1], -1 if b[0] is None else b[0]))
+    return [Block(*b, height, zones) for b in ordered]
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The columns of each page, its blocks as items."""
+    *columns, blocks, more = batch.columns
+    fields = list(zip(*(f.to_pylist() for f in blocks.flatten().flatten())))
+    offsets = blocks.offsets.to_pylist()
+    others = more.to_pylist() if more.null_count < len(more) else [None] * len(more)
+    for i, (*row, extra) in enumerate(zip(*(c.to_pylist() for c in columns), others)):
+        yield *row, fields[offsets[i] - offsets[0] : offsets[i + 1] - offsets[0]], extra
 
 
 def furniture(blocks: list[Block], shapes) -> list[tuple[bool, list[int]]]:
@@ -452,6 +472,7 @@ def furniture(blocks: list[Block], shapes) -> list[tuple[bool, list[int]]]:
 # the whole ---------------------------------------------------------------------
 
 PAGE = ["doc_id", "page_number", "alone"]
+MORE = "array<struct<kind:string,key:string,n:bigint,share:double>>"
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -460,7 +481,8 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = table(spark, sf_dir, "raw_blocks").filter("text is not null and trim(text) <> '' and (type is null or type <> 'table')")
     alone = F.when(F.col("doc_id").isNull() | F.col("page_number").isNull(), F.col("block_key"))
     item = F.struct("block_key", "block_ord", "type", F.col("bbox.y0").cast("double").alias("y"), F.col("font_size").cast("double").alias("font_size"), "text")
-    pages = blocks.select("doc_id", "page_number", alone.alias("alone"), item.alias("item")).groupBy(*PAGE).agg(F.collect_list("item").alias("blocks"))
+    # reading is work beside its bytes: a fixed number of partitions is not coalesced by size
+    pages = blocks.select("doc_id", "page_number", alone.alias("alone"), item.alias("item")).repartition(parallelism(spark), *PAGE).groupBy(*PAGE).agg(F.collect_list("item").alias("blocks"))
     return saved(pages.join(heights, ["doc_id", "page_number"], "left").select(*PAGE, "height", "blocks"))
 
 
@@ -498,7 +520,7 @@ def counted(pages: DataFrame, zones: tuple[float, float]) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["kind", "key", "n", "edge", "typed"])
 
         for batch in batches:
-            for items, height in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist()):
+            for *_, height, items, _ in _rows(batch):
                 for b in page_blocks(items, height, zones):
                     lower = b.text.lower()
                     raw.update((_UNCUT.sub(" ", lower) if "\n" in lower or lower.rstrip()[-1] in MARKS else lower).split())
@@ -513,7 +535,7 @@ def counted(pages: DataFrame, zones: tuple[float, float]) -> DataFrame:
                 shapes.clear()
         yield rows()
 
-    sums = pages.mapInArrow(count, "kind string, key string, n bigint, edge bigint, typed bigint").groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("n", "edge", "typed")])
+    sums = pages.select(*PAGE, "height", "blocks", F.lit(None).cast(MORE).alias("more")).mapInArrow(count, "kind string, key string, n bigint, edge bigint, typed bigint").groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("n", "edge", "typed")])
     share = F.when(F.col("kind") == "shape", F.col("edge") / F.col("n")).otherwise(1.0)
     return saved(sums.select("kind", "key", "n", share.alias("share"), "typed").filter("(kind = 'word' and n >= 2) or (typed >= 1 and share >= 0.3)").select("kind", "key", "n", "share"))
 
@@ -525,24 +547,31 @@ class Counts:
         rows = counts.orderBy(F.desc("n"), "kind", "key").limit(most).collect()
         self.words = {r["key"]: r["n"] for r in rows if r["kind"] == "word"}
         self.shapes = {r["key"]: r["share"] for r in rows if r["kind"] == "shape"}
-        self.total = counts.filter("kind = 'word'").agg(F.sum("n")).collect()[0][0] or 0
+        whole = counts.filter("kind = 'word'").agg(F.sum("n").alias("total"), F.collect_set(F.length("key")).alias("lengths")).collect()[0]
+        self.total, self.lengths = whole["total"] or 0, set(whole["lengths"])
+
+
+_readers: dict[str, Reader] = {}
 
 
 class Tools:
     """What a worker needs: the broadcast counts and the zones of a page; ``others`` are the counts beyond."""
 
     def __init__(self, sent, zones: tuple[float, float]) -> None:
-        self.sent, self.zones = sent, zones
+        self.sent, self.zones, self.name = sent, zones, uuid.uuid4().hex
 
     def reader(self) -> Reader:
-        return Reader(self.sent.value.words, self.sent.value.total)
+        """The worker's reader; what it has read before serves its later tasks."""
+        if self.name not in _readers:
+            _readers.clear()
+            _readers[self.name] = Reader(self.sent.value.words, self.sent.value.total, self.sent.value.lengths)
+        return _readers[self.name]
 
-    def page(self, items: list[dict], height: float | None, shapes) -> tuple[list[Block], list[tuple[bool, list[int]]]]:
+    def page(self, items: list[Item], height: float | None, shapes) -> tuple[list[Block], list[tuple[bool, list[int]]]]:
         blocks = page_blocks(items, height, self.zones)
         return blocks, furniture(blocks, shapes)
 
 
-MORE = "array<struct<kind:string,key:string,n:bigint,share:double>>"
 
 
 def _prepared(spark: SparkSession, sf_dir: str, known: int) -> tuple[DataFrame, Tools, DataFrame | None]:
@@ -567,11 +596,11 @@ def _with_counts(pages: DataFrame, others: DataFrame, kind: str, tools: Tools) -
         reader = tools.reader()
         for batch in batches:
             out: list[tuple] = []
-            for doc, page, alone, height, items, more in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, page, alone, height, items, more in _rows(batch):
                 shapes, words = _Noting(tools.sent.value.shapes | _more(more, "shape")), _Noting(reader.known)
                 blocks, marks = tools.page(items, height, shapes)
                 if kind == "word":
-                    asking = Reader({}, 1)
+                    asking = Reader({}, 1, tools.sent.value.lengths)
                     asking.known = words
                     decoded(asking, blocks, marks)
                 out += [(doc, page, alone, key) for key in sorted((words if kind == "word" else shapes).lacking)]
@@ -634,7 +663,7 @@ def _defects(pages: DataFrame, tools: Tools) -> DataFrame:
         reader, shapes = tools.reader(), tools.sent.value.shapes
         for batch in batches:
             out: list[tuple] = []
-            for doc, page, _, height, items, more in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, page, _, height, items, more in _rows(batch):
                 reader.extra = _more(more, "word")
                 blocks, marks = tools.page(items, height, shapes | _more(more, "shape") if more else shapes)
                 out += [(b.key, doc, page, False, True, False, 0, None, None) for b, (one, _) in zip(blocks, marks) if one and not b.typed]
@@ -661,7 +690,7 @@ def _joined(tails: DataFrame, heads: DataFrame, tools: Tools, others: DataFrame
             for batch in batches:
                 out = []
                 for doc, page, tail, head in zip(*(c.to_pylist() for c in batch.columns)):
-                    asking = Reader({}, 1)
+                    asking = Reader({}, 1, tools.sent.value.lengths)
                     asking.known = _Noting(tools.sent.value.words)
                     asking.cut(tail, head)
                     out += [(doc, page, key) for key in sorted(asking.known.lacking)]
@@ -761,7 +790,7 @@ def paragraphs(spark: SparkSession, sf_dir: str, known: int = KNOWN) -> DataFram
         reader, shapes = tools.reader(), tools.sent.value.shapes
         for batch in batches:
             out: list[tuple] = []
-            for doc, page, _, height, items, more in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, page, _, height, items, more in _rows(batch):
                 reader.extra = _more(more, "word")
                 rows = decoded(reader, *tools.page(items, height, shapes | _more(more, "shape") if more else shapes))
                 lines = []
