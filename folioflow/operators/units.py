@@ -7,11 +7,13 @@ table).  The table's declaration never reaches percentages, per-share amounts
 or numbers of things; a phrase that only sizes one figure declares nothing.
 
 The figures of a row are the readings of one device, with the unit as hidden
-state: the states are the units stated anywhere for the row, an emission is the
-closest statement and, far weaker, the distance of the figure from the row's
-level on a logarithmic scale; a Viterbi pass decodes the units.  Statements
-outweigh any jump by construction, because amounts must follow what is stated:
-each cell has one, so the pass returns it and decides nothing.
+state.  The states are the units stated anywhere for the row, and ones.  Every
+statement is evidence of a weight of its own, the closer the heavier, and the
+absence of any is weak evidence of ones; jumps of the logarithm of the amount
+from reading to reading, in one kind, and switches of the unit cost.  A Viterbi
+pass decodes the units.  So a statement in the figure's own text always holds, a
+level that fits all neighbours outweighs the absence of a statement, or a remote
+statement against a near one that is not there.
 
 Amounts are exact: a figure is its digits and a power of ten, never a float.
 
@@ -179,26 +181,38 @@ def amount(read: tuple[int, str, int, Unit | None], unit: Unit) -> str:
     return f"{unit[0]}{'-' if sign < 0 else '+'}{digits}e{power + unit[1]}"
 
 
-def viterbi(levels: list[float], stated: list[Unit], stay: float = -0.1, switch: float = -1.0) -> list[Unit]:
-    """The units of the readings of one device, given the closest statement and the log10 of each."""
-    states = sorted(set(stated))
-    if len(states) == 1:
-        return stated
-    known = sorted(v + u[1] for v, u in zip(levels, stated))
-    level = known[len(known) // 2]
-
-    def emission(i: int, state: Unit) -> float:
-        jump = -min(1.0, 0.05 * abs(levels[i] + state[1] - level))
-        return jump if state == stated[i] else jump - 20.0
-
-    score = {s: emission(0, s) for s in states}
+#: Weights of the statements of a figure's own text, its row label, its column header and its table, and of none (ones).
+WEIGHTS = (16.0, 12.0, 8.0, 4.0, 4.0)
+#: Cost of a jump of the level by a power of ten, the most that a jump costs, cost of a switch of the unit.
+JUMP, MOST_JUMP, SWITCH = 0.55, 1.6, 0.7
+
+
+def viterbi(levels: list[float], statements: list[tuple[Unit | None, ...]], weights: tuple[float, ...] = WEIGHTS) -> list[Unit]:
+    """The units of the readings of one device, from the log10 of each and what is stated of it, the closest first."""
+    evidence: list[dict[Unit, float]] = []
+    for stated in statements:
+        of = {ONES: weights[-1]} if not any(stated) else {}
+        for unit, weight in zip(stated, weights):
+            if unit:
+                of[unit] = max(of.get(unit, 0.0), weight)
+        evidence.append(of)
+    states = sorted({u for of in evidence for u in of} | {ONES})
+    if all(len(of) == 1 for of in evidence) and len({u for of in evidence for u in of}) == 1:
+        return [next(iter(of)) for of in evidence]
+    score = {s: evidence[0].get(s, 0.0) for s in states}
     back: list[dict[Unit, Unit]] = []
     for i in range(1, len(levels)):
         step, new = {}, {}
         for s in states:
-            best = max(states, key=lambda p: score[p] + (stay if p == s else switch))
-            step[s] = best
-            new[s] = score[best] + (stay if best == s else switch) + emission(i, s)
+            here = levels[i] + s[1]
+            best, best_score = s, -math.inf
+            for p in states:
+                cost = 0.0 if p == s else SWITCH
+                if p[0] == s[0]:
+                    cost += min(MOST_JUMP, JUMP * abs(here - levels[i - 1] - p[1]))
+                if score[p] - cost > best_score:
+                    best, best_score = p, score[p] - cost
+            step[s], new[s] = best, best_score + evidence[i].get(s, 0.0)
         back.append(step)
         score = new
     at = max(states, key=score.__getitem__)
@@ -209,7 +223,7 @@ def viterbi(levels: list[float], stated: list[Unit], stay: float = -0.1, switch:
     return path[::-1]
 
 
-def table_amounts(cells: list[tuple[int, int, int, str]], language: str, caption: str | None, before: str | None, candidates: list[tuple[str, str]]) -> list[tuple[int, str]]:
+def table_amounts(cells: list[tuple[int, int, int, str]], language: str, caption: str | None, before: str | None, candidates: list[tuple[str, str]], weights: tuple[float, ...] = WEIGHTS) -> list[tuple[int, str]]:
     """(cell_key, amount) of the body figures of one table; cells are (row, column, key, text)."""
     grid: dict[tuple[int, int], tuple[int, str]] = {}
     for row, column, key, text in cells:
@@ -245,10 +259,10 @@ def table_amounts(cells: list[tuple[int, int, int, str]], language: str, caption
             read = figure(text, language) if text else None
             if read:
                 reads.append(read)
-                stated.append(read[3] or of_row or columns.get(c) or table_unit or ONES)
+                stated.append((read[3], of_row, columns.get(c), table_unit))
                 keys.append(key)
         if reads:
-            units = viterbi([math.log10(float(r[1])) + r[2] for r in reads], stated) if len(set(stated)) > 1 else stated
+            units = viterbi([math.log10(float(r[1])) + r[2] for r in reads], stated, weights)
             out += [(key, amount(r, u)) for key, r, u in zip(keys, reads, units)]
     return out
 

@@ -50,9 +50,55 @@ def test_answers():
     assert U.answer_amount("a; b", "") is None and U.answer_amount(None, None) is None
 
 
+MILLION, THOUSAND, PERCENT = ("money", 6), ("money", 3), ("percent", 0)
+
+
+def stated(own=None, row=None, header=None, table=None):
+    return (own, row, header, table)
+
+
 def test_viterbi_follows_statements():
-    stated = [("money", 6), ("money", 3), ("money", 6)]
-    assert U.viterbi([1.0, 4.0, 1.2], stated) == stated
+    assert U.viterbi([1.0, 4.0, 1.2], [stated(own=u) for u in (MILLION, THOUSAND, MILLION)]) == [MILLION, THOUSAND, MILLION]
+    # the closer of two statements, against every jump
+    assert U.viterbi([1.0, 1.0, 1.0], [stated(own=MILLION), stated(row=THOUSAND, table=MILLION), stated(own=MILLION)])[1] == THOUSAND
+    assert U.viterbi([1.0], [stated()]) == [U.ONES] and U.viterbi([2.0, 1.0], [stated(table=PERCENT)] * 2) == [PERCENT] * 2
+
+
+def test_the_level_decides_where_statements_are_missing_or_weak():
+    # 5.1 million, 5.2, 5.3 million: no statement for the second, whose level fits millions only
+    assert U.viterbi([0.71, 0.72, 0.72], [stated(own=MILLION), stated(), stated(own=MILLION)]) == [MILLION] * 3
+    # 5.1 million, 5,200,000, 5.3 million: ones, as the level says too
+    assert U.viterbi([0.71, 6.72, 0.72], [stated(own=MILLION), stated(), stated(own=MILLION)]) == [MILLION, U.ONES, MILLION]
+    # the table says thousands, both neighbours' own texts say millions
+    assert U.viterbi([0.71, 0.72, 0.72], [stated(own=MILLION), stated(table=THOUSAND), stated(own=MILLION)]) == [MILLION] * 3
+    # one neighbour is not enough
+    assert U.viterbi([0.71, 0.72], [stated(own=MILLION), stated(table=THOUSAND)]) == [MILLION, THOUSAND]
+
+
+def test_viterbi_is_the_best_path():
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    units = [MILLION, THOUSAND, PERCENT, U.ONES]
+    for _ in range(200):
+        n = rng.randrange(1, 5)
+        levels, said = [rng.uniform(0, 7) for _ in range(n)], [tuple(rng.choice([None, None, *units]) for _ in range(4)) for _ in range(n)]
+
+        def score(path):
+            total = 0.0
+            for i, unit in enumerate(path):
+                of = [w for u, w in zip(said[i], U.WEIGHTS) if u == unit]
+                total += max(of, default=U.WEIGHTS[-1] if not any(said[i]) and unit == U.ONES else 0.0)
+                if i:
+                    before = path[i - 1]
+                    total -= U.SWITCH * (unit != before)
+                    if unit[0] == before[0]:
+                        total -= min(U.MOST_JUMP, U.JUMP * abs(levels[i] + unit[1] - levels[i - 1] - before[1]))
+            return total
+
+        states = {u for of in said for u in of if u} | {U.ONES}
+        assert score(U.viterbi(levels, said)) == pytest.approx(max(map(score, itertools.product(states, repeat=n))))
 
 
 def test_empty_and_null(spark):
