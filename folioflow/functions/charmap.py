@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -33,16 +32,17 @@ OWN = "ℓΩµℹ"
 
 @lru_cache(maxsize=1)
 def mappings() -> list[tuple[str, str, str]]:
-    """(character, what it becomes, kind) by rule; kind is space, invisible, plain or alike. About 2,500 rows."""
+    """(character, what it becomes, kind) by rule; kind is space, invisible, plain or alike. About 3,500 rows."""
     rows = {}
-    for cp in range(0x80, min(0x30000, sys.maxunicode)):
+    # the planes between hold ideographs only, or nothing
+    for cp in (*range(0x80, 0x30000), *range(0xE0000, 0xE0200)):
         ch = chr(cp)
         kind = unicodedata.category(ch)
         if ch in OWN or kind in ("Cn", "Cs", "Co"):
             continue
         if kind == "Zs":
             rows[ch] = (" ", "space")
-        elif kind == "Cf" or cp in HIDDEN or 0xFE00 <= cp <= 0xFE0F or (kind == "Cc" and cp != 0x85):
+        elif kind == "Cf" or cp in HIDDEN or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF or (kind == "Cc" and cp != 0x85):
             rows[ch] = ("", "invisible")
         elif found := unicodedata.decomposition(ch):
             tag, *rest = found.split()
@@ -50,6 +50,9 @@ def mappings() -> list[tuple[str, str, str]]:
                 to = unicodedata.normalize("NFKC", ch)
                 if to != ch:
                     rows[ch] = (to, "plain")
+            elif tag[0] != "<" and not 0xF900 <= cp <= 0xFAFF and unicodedata.normalize("NFC", ch) != ch:
+                # characters that are never composed again
+                rows[ch] = (unicodedata.normalize("NFC", ch), "plain")
     for foreign, latin in ALIKE:
         rows |= {a: (b, "alike") for a, b in zip(foreign, latin, strict=True)}
     rows |= {a: (b, "plain") for a, b in zip(*SIGNS, strict=True)}
@@ -64,17 +67,28 @@ def marks() -> list[tuple[str, int]]:
 
 @lru_cache(maxsize=1)
 def compositions() -> list[tuple[str, str]]:
-    """Pairs of a character and a mark, and their one character."""
+    """Pairs of a character and the one after it, and their one character, but for Hangul syllables. About 950 rows."""
     out = []
-    for cp in range(0xC0, 0x1FFF):
-        pair = unicodedata.normalize("NFD", chr(cp))
-        if len(pair) > 1:
-            base = unicodedata.normalize("NFC", pair[:-1])
-            if len(base) == 1 and unicodedata.normalize("NFC", base + pair[-1]) == chr(cp):
-                out.append((base + pair[-1], chr(cp)))
+    for cp in (*range(0xC0, 0xAC00), *range(0xF900, 0x1F000)):
+        found = unicodedata.decomposition(chr(cp))
+        if found and found[0] != "<" and " " in found:
+            pair = "".join(chr(int(x, 16)) for x in found.split())
+            if unicodedata.normalize("NFC", pair) == chr(cp):
+                out.append((pair, chr(cp)))
     return out
 
 
+@lru_cache(maxsize=1)
+def decompositions() -> list[tuple[str, str]]:
+    """Each character that is composed, Hangul syllables left out, and its parts."""
+    return [(one, unicodedata.normalize("NFD", one)) for _, one in compositions()]
+
+
+def joining() -> set[str]:
+    """Characters without a combining class that compose with the one before them, Hangul vowels and finals among them."""
+    return {pair[1] for pair, _ in compositions() if not unicodedata.combining(pair[1])} | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+
+
 @lru_cache(maxsize=1)
 def folding() -> dict[int, str]:
     """A table for str.translate that gives every mapped character its ordinary form."""
