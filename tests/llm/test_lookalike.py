@@ -38,3 +38,25 @@ def test_long_and_empty(spark):
     items = spark.createDataFrame([("block", 1, 0, "あ" * 50_000 + "а"), ("block", 2, 0, "x" * 200_000)], SCHEMA)
     assert {r["item_key"] for r in L.found(items).collect()} <= {1}
     assert L.found(items.limit(0)).count() == 0
+
+
+def test_composition_is_the_public_one(spark):
+    import random
+    import unicodedata
+
+    from folioflow.functions.charmap import joining, mappings, marks
+
+    rng = random.Random(8)
+    mapped = {ch for ch, *_ in mappings()}
+    some = [ch for ch, _ in marks() if ch not in mapped and unicodedata.normalize("NFC", ch) == ch]
+    bases = list("aeoAuyscにかハ") + ["각", "가", "ᄀ", "ᄒ", "ᅡ", "ᆨ", "ᆼ", "é", "ç", "ệ", "क", "ক", "ே"]
+    frequent = list("़゙̧̨̣̥̀́̂̃̈")
+    tokens = {"é̥", "é̥", "が", "한", "ậ́"}
+    while len(tokens) < 1500:
+        n = rng.randrange(1, 4)
+        token = "".join(rng.choice(bases) + "".join(rng.choice(frequent if rng.random() < 0.7 else some) for _ in range(rng.randrange(5))) + (rng.choice(sorted(joining())) if rng.random() < 0.2 else "") for _ in range(n))
+        if not mapped.intersection(token):
+            tokens.add(token)
+    rows = spark.createDataFrame([(t,) for t in sorted(tokens)], "token string")
+    got = {r["token"]: r["ordinary"] for r in L.ordinary_tokens(rows).collect()}
+    assert len(got) == len(tokens) and {t for t in tokens if got[t] != unicodedata.normalize("NFC", t)} == set()
