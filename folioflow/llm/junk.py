@@ -42,13 +42,18 @@ FUNCTION_WORDS = frozenset(
     "el los las del y con su al una por lo como más no sobre entre".split()
 )
 LINK = re.compile(r"(?:[a-z]+:)?//[^\s<>\"']+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}(?:/[^\s<>\"']*)?(?=[\s<>\"']|$)|</?a\b[^>]*>?|<br\s*/?>", re.I)
-TAG = re.compile(r"#\w[\w'-]{2,}|\b[^\W\d_]+(?:['’]?[^\W\d_]+)?(?:[-_+][^\W\d_]+){1,}\b")
+TAG = re.compile(r"#\w[\w'-]{2,}|\b[^\W\d_]++(?:['’][^\W\d_]++)?(?:[-_+][^\W\d_]++)+(?!\w)")
+#: Without these a line has no link and no tag; cheap to look for.
+MAY_LINK, MAY_TAG = re.compile(r"//|[<>]|[\w-]\.[A-Za-zſK]{2}"), re.compile(r"#|[-_+][^\W\d_]")
 WORD = re.compile(r"[^\W\d_]+")
+NUMBER = re.compile(r"\d+")
 STOP = re.compile(r"[.!?](?=\s|$)")
 #: Characters of a block, and of a text that can be junk at all.
 BLOCK, LEAST = 1500, 150
 #: The last bin of lengths, that of full blocks.
 LAST_BIN = 21
+#: Medians that are broadcast; there are at most LAST_BIN + 1 rows a language.
+MOST_MEDIANS = 100_000
 #: Kinds of blocks.
 LINKS, TAGS, FIGURES, WORDS, SENTENCES = range(5)
 
@@ -67,18 +72,18 @@ def _lines(text: str) -> Iterator[str]:
 def _kind(line: str) -> tuple[int, list[str]]:
     """The line's kind, and its words without links."""
     length = len(line.strip())
-    addresses = sum(len(m.group()) for m in LINK.finditer(line))
+    addresses = sum(len(m.group()) for m in LINK.finditer(line)) if MAY_LINK.search(line) else 0
     words = WORD.findall(LINK.sub(" ", line) if addresses else line)
     if addresses >= 0.3 * length and addresses >= 8:
         return LINKS, words
-    tags = [m.group() for m in TAG.finditer(line)]
+    tags = [m.group() for m in TAG.finditer(line)] if MAY_TAG.search(line) else []
     joined = sum(map(len, tags))
     if len(tags) >= 3 and joined >= 0.5 * sum(map(len, words)) and not STOP.search(line.rstrip()[:-1]) and (2 * sum(t[0] == "#" or t.islower() for t in tags) > len(tags) or len(set(tags)) <= 0.75 * len(tags)):
         return TAGS, words
-    figures = len(re.findall(r"\d+", line))
+    figures = len(NUMBER.findall(line))
     if not words or "...." in line or line.count("|") >= 2 and figures or figures >= 0.25 * len(words) and not line.rstrip().endswith((".", "!", "?")):
         return FIGURES, words
-    functional = sum(w in FUNCTION_WORDS for w in words)
+    functional = sum(map(FUNCTION_WORDS.__contains__, words))
     return (WORDS if functional < 0.12 * len(words) else SENTENCES), words
 
 
@@ -93,8 +98,8 @@ def blocks(text: str) -> list[tuple]:
         data = " ".join(words).encode()
         ratio = math.log(len(zlib.compress(data, 6)) / len(data)) if data else 0.0
         pairs = Counter(zip(words, words[1:]))
-        repeated = sum(n for n in pairs.values() if n >= 3) / max(1, len(words) - 1)
-        functional = sum(w in FUNCTION_WORDS for w in words) / max(1, len(words))
+        repeated = sum([n for n in pairs.values() if n >= 3]) / max(1, len(words) - 1)
+        functional = sum(map(FUNCTION_WORDS.__contains__, words)) / max(1, len(words))
         out.append((kind, chars, len(words), len(data), ratio, functional, stops / max(1, len(words)), figures / max(1, len(words)), repeated, len(set(words)) / max(1, len(words))))
 
     for line in _lines(text):
@@ -104,9 +109,9 @@ def blocks(text: str) -> list[tuple]:
             close(kind)
         block = held.setdefault(kind, [0, [], 0, 0])
         block[0] += chars
-        block[1] += [w.lower() for w in words]
+        block[1] += map(str.lower, words)
         block[2] += len(STOP.findall(line))
-        block[3] += len(re.findall(r"\d+", line))
+        block[3] += len(NUMBER.findall(line))
     for kind in list(held):
         close(kind)
     return out
@@ -137,9 +142,12 @@ def scores(documents: DataFrame) -> DataFrame:
     """doc_id, chars and junk_chars of each document with text."""
     rows = saved(block_rows(documents)).withColumn("bin", F.least(F.floor(3 * F.log(F.greatest("size", F.lit(1)))), F.lit(LAST_BIN)))
     # one row for each language and length, a small table whatever the corpus
-    usual = rows.filter("kind = 4").groupBy("language", "bin").agg(F.percentile_approx("ratio", 0.5).alias("by_language"), F.count("*").alias("n"))
+    usual = saved(rows.filter("kind = 4").groupBy("language", "bin").agg(F.percentile_approx("ratio", 0.5).alias("by_language"), F.count("*").alias("n")))
     overall = rows.filter("kind = 4").groupBy("bin").agg(F.percentile_approx("ratio", 0.5).alias("by_length"))
     z = F.col("ratio") - F.when(F.col("n") >= 100, F.col("by_language")).otherwise(F.col("by_length"))
+    # one row a language and length: broadcast where that is few, so that a frequent one is no hot key
+    few = usual.count() <= MOST_MEDIANS
+    usual, overall = (F.broadcast(usual) if few else usual), F.broadcast(overall)
     scored = rows.join(usual, ["language", "bin"], "left").join(overall, "bin", "left").withColumn("z", F.coalesce(z, F.lit(0.0)))
     plain = F.col("figures") < 0.05
     junk = (

@@ -6,7 +6,9 @@ length left, a bitset subset-sum over the lengths left finds the multiset that
 comes closest to the capacity; the pattern is repeated while the counts last,
 so every pattern uses up at least one length and there are at most as many
 patterns as lengths.  The plan says, for each length, which ranks go to which
-containers; items find their container by their rank within their length.
+containers; items find their container by their rank within their length, by a
+binary search in the plan, which is broadcast (its size depends on the capacity
+only).
 
 An item longer than the capacity is cut into full containers and a rest; no
 other item is ever split.
@@ -14,8 +16,11 @@ other item is ever split.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +28,8 @@ from folioflow.session import saved
 
 #: Rows of one length that are ranked in one task.
 RANKED_TOGETHER = 200_000
-#: A sanity bound on the capacity, so that histogram and plan stay small.
-MOST_CAPACITY = 1 << 20
+#: A bound on the capacity C: the histogram has C rows at most, the plan C patterns of at most sqrt(2 C) lengths each.
+MOST_CAPACITY = 1 << 17
 
 
 def fill(histogram: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -46,13 +51,15 @@ def _closest(order: list[int], left: dict[int, int], capacity: int) -> list[tupl
     """The multiset with the largest length in it whose sum comes closest to the capacity.
 
     ``reached`` has bit s set where a sum of s can be made; copies are added in
-    powers of two, each step kept for the way back.
+    powers of two.  Of each sum only the step that first made it is kept for the
+    way back, so memory is in proportion to the capacity.
     """
     first = order[0]
     room = capacity - first
     mask = (1 << (room + 1)) - 1
     reached = 1
-    steps: list[tuple[int, int, int]] = []
+    lots: list[tuple[int, int]] = []
+    made_by = np.zeros(room + 1, np.int32)
     for size in order:
         if size > room:
             continue
@@ -60,21 +67,58 @@ def _closest(order: list[int], left: dict[int, int], capacity: int) -> list[tupl
         lot = 1
         while copies > 0:
             take = min(lot, copies)
-            steps.append((size, take, reached))
-            reached |= (reached << (size * take)) & mask
+            new = (reached << (size * take)) & mask & ~reached
+            if new:
+                bits = np.frombuffer(new.to_bytes(room // 8 + 1, "little"), np.uint8)
+                made_by[np.flatnonzero(np.unpackbits(bits, bitorder="little")[: room + 1])] = len(lots)
+                lots.append((size, take))
+                reached |= new
             copies -= take
             lot *= 2
         if reached >> room:
             break
     at = reached.bit_length() - 1
     used: dict[int, int] = {first: 1}
-    for size, take, before in reversed(steps):
-        if not (before >> at) & 1:
-            used[size] = used.get(size, 0) + take
-            at -= size * take
+    # a sum was made from one that an earlier step had made
+    while at:
+        size, take = lots[made_by[at]]
+        used[size] = used.get(size, 0) + take
+        at -= size * take
     return list(used.items())
 
 
+@dataclass
+class Plan:
+    """Which ranks of each length go to which containers: segments in order of length and rank."""
+
+    base: np.ndarray  # ranks of smaller lengths, by length
+    starts: np.ndarray  # base of the length plus the first rank
+    each: np.ndarray  # items of a container
+    first: np.ndarray  # the first container
+
+    def containers(self, rest: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """The container of each item, by a binary search for its segment."""
+        at = self.base[rest] + rank
+        segment = np.searchsorted(self.starts, at, side="right") - 1
+        return self.first[segment] + (at - self.starts[segment]) // self.each[segment]
+
+
+def _plan(histogram: dict[int, int], capacity: int) -> tuple[Plan, int]:
+    """The plan of one capacity and its number of containers."""
+    base = np.zeros(capacity + 2, np.int64)
+    for size, n in histogram.items():
+        base[size + 1] = n
+    base = np.cumsum(base)
+    taken, rows, container = base.copy(), [], 0
+    for pattern, times in fill(histogram, capacity):
+        for size, n in pattern:
+            rows.append((taken[size], n, container))
+            taken[size] += n * times
+        container += times
+    starts, each, first = (np.array(sorted(rows), np.int64).reshape(-1, 3)).T
+    return Plan(base, starts, each, first), container
+
+
 def pack(items: DataFrame, sizes: Iterable[tuple[str, int]], key: str = "doc_id", length: str = "n_tokens") -> DataFrame:
     """Every item of ``items`` assigned to containers of each named capacity.
 
@@ -116,22 +160,27 @@ def pack(items: DataFrame, sizes: Iterable[tuple[str, int]], key: str = "doc_id"
     for row in rests.collect():
         if row["rest"]:
             histograms[row["size_name"]][row["rest"]] = row["n"]
-    segments, offsets = [], {}
+    plans, offsets = {}, {}
     for name, capacity in sizes:
-        rank = dict.fromkeys(histograms[name], 0)
-        container = 0
-        for pattern, times in fill(histograms[name], capacity):
-            for size, n in pattern:
-                segments.append((name, size, rank[size], rank[size] + n * times, n, container))
-                rank[size] += n * times
-            container += times
-        offsets[name] = container
-    plan = spark.createDataFrame(segments, "size_name string, rest bigint, low bigint, high bigint, each bigint, first bigint")
+        plans[name], offsets[name] = _plan(histograms[name], capacity)
+    sent = spark.sparkContext.broadcast(plans)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, rests, ranks = (batch.column(i) for i in range(3))
+            containers = np.zeros(len(names), np.int64)
+            named, rest, rank = np.array(names.to_pylist()), rests.to_numpy(zero_copy_only=False), ranks.to_numpy(zero_copy_only=False)
+            for name in set(named.tolist()):
+                of = named == name
+                containers[of] = sent.value[name].containers(rest[of], rank[of])
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(containers)], [*batch.schema.names[3:], "container_id"])
+
     ranked = _ranked(parts.filter("rest > 0"), ["size_name", "rest"], "item", max([n for h in histograms.values() for n in h.values()], default=0))
-    rest_rows = ranked.join(F.broadcast(plan), ["size_name", "rest"]).filter("rank >= low and rank < high").select(
-        "size_name", "capacity_tokens",
-        (F.col("first") + F.floor((F.col("rank") - F.col("low")) / F.col("each"))).alias("container_id"),
-        "item", (F.col("cut") / F.col("capacity_tokens")).cast("int").alias("part"), F.col("cut").alias("start"), F.col("rest").cast("int").alias("n_tokens"),
+    rest_rows = ranked.select("size_name", "rest", "rank", F.col("size_name").alias("name"), "capacity_tokens", "item", "cut", F.col("rest").alias("tokens")).mapInArrow(
+        placed, f"name string, capacity_tokens int, item {kind}, cut bigint, tokens bigint, container_id bigint"
+    ).select(
+        F.col("name").alias("size_name"), "capacity_tokens", "container_id", "item",
+        (F.col("cut") / F.col("capacity_tokens")).cast("int").alias("part"), F.col("cut").alias("start"), F.col("tokens").cast("int").alias("n_tokens"),
     )
     # an item with full parts owns their containers: ids behind those of the rests, numbered by a prefix sum
     big = parts.filter("cut > 0").withColumn("full", F.floor(F.col("cut") / F.col("capacity_tokens")))
