@@ -19,7 +19,6 @@ word or row where possible.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,12 +117,12 @@ def split_texts(items: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def split_files(spark: SparkSession, paths: list[str], max_chars: int, overlap_chars: int, range_bytes: int = 1 << 22, is_table: bool = False) -> DataFrame:
-    """Pieces of UTF-8 files on a file system all workers share, read by byte ranges; no worker holds a file.
+    """Pieces of UTF-8 files (absolute paths or URIs) on a file system all workers share, read by byte ranges; no worker holds a file.
 
     A first pass counts the code points of each range, a prefix sum per file
     stitches them, a second pass reads each range with its halo and cuts it.
     """
-    sizes = [(p, os.path.getsize(p)) for p in paths]
+    sizes = [(p, _opened(p).size()) for p in paths]
     files = spark.createDataFrame(sizes, "path string, bytes bigint")
     spans = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("bigint"))).alias("at"))
     spans = spans.repartition(max(1, min(spans.count(), 4096)), "path", "at")
@@ -132,9 +131,8 @@ def split_files(spark: SparkSession, paths: list[str], max_chars: int, overlap_c
         for frame in frames:
             count = []
             for path, at in zip(frame["path"], frame["at"]):
-                with open(path, "rb") as f:
-                    f.seek(at)
-                    data = f.read(range_bytes)
+                with _opened(path) as f:
+                    data = f.read_at(min(range_bytes, f.size() - at), at) if f.size() > at else b""
                 count.append(len(data) - _continuations(data))
             yield frame.assign(points=count)
 
@@ -150,9 +148,8 @@ def split_files(spark: SparkSession, paths: list[str], max_chars: int, overlap_c
             content, halo = [], []
             for path, at in zip(frame["path"], frame["at"]):
                 first = max(0, at - 4 * max_chars - 4)
-                with open(path, "rb") as f:
-                    f.seek(first)
-                    data = f.read(at - first + range_bytes + 4)
+                with _opened(path) as f:
+                    data = f.read_at(min(at - first + range_bytes + 4, f.size() - first), first) if f.size() > first else b""
                 own = at - first
                 while own < len(data) and data[own] & 0xC0 == 0x80:  # a character begun before belongs there
                     own += 1
@@ -170,6 +167,14 @@ def split_files(spark: SparkSession, paths: list[str], max_chars: int, overlap_c
     return _pieces(_ranges(ranges, INNER), ["path"])
 
 
+def _opened(path: str):
+    """A file of any file system that a path or URI can name, open for reads at a place."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
 def _continuations(data: bytes) -> int:
     """Bytes that continue a character, so that a range's other bytes are its code points."""
     return int(((np.frombuffer(data, np.uint8) & 0xC0) == 0x80).sum())

@@ -36,3 +36,15 @@ def test_files_by_ranges(spark, tmp_path):
     path.write_text(text)
     rows = chunks.split_files(spark, [str(path)], 500, 60, range_bytes=10_007).collect()
     _check(rows, 500, 60, text)
+    # the same pieces as from the whole text, whatever the ranges; by URI too
+    frame = spark.createDataFrame([(1, text, False, 500, 60, "e")], SCHEMA)
+    whole = sorted((r["piece"], r["piece_start"], r["piece_end"]) for r in chunks.split_texts(frame, ["block_key"]).collect())
+    for size in (1_003, 1 << 22):
+        again = chunks.split_files(spark, [path.as_uri()], 500, 60, range_bytes=size).collect()
+        assert sorted((r["piece"], r["piece_start"], r["piece_end"]) for r in again) == whole
+
+
+def test_empty_file(spark, tmp_path):
+    path = tmp_path / "none.txt"
+    path.write_text("")
+    assert [r["piece_text"] for r in chunks.split_files(spark, [str(path)], 500, 60).collect()] == [""]
