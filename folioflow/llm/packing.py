@@ -30,6 +30,8 @@ from folioflow.session import saved
 RANKED_TOGETHER = 200_000
 #: A bound on the capacity C: the histogram has C rows at most, the plan C patterns of at most sqrt(2 C) lengths each.
 MOST_CAPACITY = 1 << 17
+#: Bytes of bitsets kept in one search.
+KEPT = 1 << 26
 
 
 def fill(histogram: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -51,15 +53,16 @@ def _closest(order: list[int], left: dict[int, int], capacity: int) -> list[tupl
     """The multiset with the largest length in it whose sum comes closest to the capacity.
 
     ``reached`` has bit s set where a sum of s can be made; copies are added in
-    powers of two.  Of each sum only the step that first made it is kept for the
-    way back, so memory is in proportion to the capacity.
+    powers of two.  For the way back each step keeps the sums it was the first to
+    make; beyond ``KEPT`` bytes these are turned into the number of the step of
+    each sum, so memory is bounded by the capacity.
     """
     first = order[0]
     room = capacity - first
     mask = (1 << (room + 1)) - 1
     reached = 1
     lots: list[tuple[int, int]] = []
-    made_by = np.zeros(room + 1, np.int32)
+    made_by, pending = np.zeros(room + 1, np.int32), []
     for size in order:
         if size > room:
             continue
@@ -69,9 +72,10 @@ def _closest(order: list[int], left: dict[int, int], capacity: int) -> list[tupl
             take = min(lot, copies)
             new = (reached << (size * take)) & mask & ~reached
             if new:
-                bits = np.frombuffer(new.to_bytes(room // 8 + 1, "little"), np.uint8)
-                made_by[np.flatnonzero(np.unpackbits(bits, bitorder="little")[: room + 1])] = len(lots)
+                pending.append(new)
                 lots.append((size, take))
+                if len(pending) * room > 8 * KEPT:
+                    _unpack(pending, len(lots), made_by)
                 reached |= new
             copies -= take
             lot *= 2
@@ -80,6 +84,11 @@ def _closest(order: list[int], left: dict[int, int], capacity: int) -> list[tupl
     at = reached.bit_length() - 1
     used: dict[int, int] = {first: 1}
     # a sum was made from one that an earlier step had made
+    for step in range(len(lots) - 1, len(lots) - 1 - len(pending), -1):
+        if pending.pop() >> at & 1:
+            size, take = lots[step]
+            used[size] = used.get(size, 0) + take
+            at -= size * take
     while at:
         size, take = lots[made_by[at]]
         used[size] = used.get(size, 0) + take
@@ -87,6 +96,14 @@ def _closest(order: list[int], left: dict[int, int], capacity: int) -> list[tupl
     return list(used.items())
 
 
+def _unpack(pending: list[int], steps: int, made_by: np.ndarray) -> None:
+    """Notes the step of each sum of the last steps, and drops their bitsets."""
+    for step, new in enumerate(pending, steps - len(pending)):
+        bits = np.frombuffer(new.to_bytes(len(made_by) // 8 + 1, "little"), np.uint8)
+        made_by[np.flatnonzero(np.unpackbits(bits, bitorder="little")[: len(made_by)])] = step
+    pending.clear()
+
+
 @dataclass
 class Plan:
     """Which ranks of each length go to which containers: segments in order of length and rank."""

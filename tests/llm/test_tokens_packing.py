@@ -64,3 +64,23 @@ def test_pack(spark):
     assert packing.pack(items, []).count() == 0
     with pytest.raises(ValueError):
         packing.pack(items, [("bad", 0)])
+
+
+def test_closest_sum_equals_brute_force(monkeypatch):
+    import itertools
+    import random
+
+    rng = random.Random(2)
+    for _ in range(200):
+        monkeypatch.setattr(packing, "KEPT", rng.choice([1 << 26, 3, 0]))
+        capacity = rng.randrange(3, 60)
+        held = {rng.randrange(1, capacity + 1): rng.randrange(1, 6) for _ in range(rng.randrange(1, 6))}
+        largest = max(held)
+        pattern = packing._closest(sorted(held, reverse=True), held, capacity)
+        sums = (sum(a * b for a, b in zip(held, ns)) for ns in itertools.product(*[range((k == largest), held[k] + 1) for k in held]))
+        assert sum(a * b for a, b in pattern) == max(x for x in sums if x <= capacity) and all(b <= held[a] for a, b in pattern)
+        left = dict(held)
+        for pattern, times in packing.fill(held, capacity):
+            for size, n in pattern:
+                left[size] -= n * times
+        assert not any(left.values())
