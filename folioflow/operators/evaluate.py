@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.finance import parse_values
 from folioflow.functions.text import normal
+from folioflow.session import saved
 
 #: Fixed: tiers in order, least letters of a text that is searched for, factors of gold scales, a figure in running text.
 OUTCOMES = ("table_cell_text", "table_cell_value", "block_text", "block_text_value", "furniture_only", "not_found")
@@ -57,16 +58,51 @@ def contains_phrase(haystack: Column, needle: Column) -> Column:
 
 
 def _hits(rows: DataFrame, keys: list[str], tier: int) -> DataFrame:
-    """keys, tier, candidates and the first hit of each key; summed up before facts are joined, so no pairs arise."""
+    """keys, tier, candidates, place and the first hit of each key; summed up before facts are joined, so no pairs arise."""
     of = [c for c in ("cell_key", "block_key") if c in rows.columns]
-    place = F.struct(*[c for c in ("page_number", "block_ord", "cell_ord") if c in rows.columns])
-    out = rows.groupBy(*keys).agg(F.count("*").alias("candidates"), *[F.min_by(c, place).alias(c) for c in of])
+    place = F.struct("page_number", "block_ord", F.col("cell_ord") if "cell_ord" in rows.columns else F.lit(0).alias("cell_ord"))
+    out = rows.groupBy(*keys).agg(F.count("*").alias("candidates"), F.min(place).alias("place"), *[F.min_by(c, place).alias(c) for c in of])
     for c in ("cell_key", "block_key"):
         if c not in of:
             out = out.withColumn(c, F.lit(None).cast("bigint"))
     return out.withColumn("tier", F.lit(tier))
 
 
+#: Numbers are the same within this share of the larger; width of a bin of their logarithms, far above it.
+SAME, BIN = 1e-9, 1e-8
+
+
+def same_number(a: Column, b: Column) -> Column:
+    return F.abs(a - b) <= SAME * F.greatest(F.abs(a), F.abs(b))
+
+
+def _bin(num: Column) -> Column:
+    """The bin of a number; two that are the same are in one or in neighbours. Zero has one of its own."""
+    return F.when(num == 0, F.lit(0)).otherwise(F.signum(num).cast("bigint") * (F.floor(F.log10(F.abs(num)) / BIN) + (1 << 50)))
+
+
+def phrase_places(indexed: DataFrame, needles: DataFrame) -> DataFrame:
+    """The rows of ``indexed`` that hold a needle (doc_id, needle) of their document as a phrase.
+
+    A needle is looked for by the one of its words that the fewest texts of the
+    document have: an equi-join on document and word, so neither side's texts
+    meet all of the other's.  A needle without any word meets all its texts.
+    """
+    words = F.array_distinct(F.regexp_extract_all("needle", F.lit(r"(?U)\w+"), F.lit(0)))
+    asked = saved(needles.withColumn("words", words))
+    of_needle = asked.select("doc_id", "needle", F.explode("words").alias("word"))
+    wanted = of_needle.select("doc_id", "word").distinct()
+    held = indexed.select("doc_id", "block_key", F.explode(F.array_distinct(F.regexp_extract_all("haystack", F.lit(r"(?U)\w+"), F.lit(0)))).alias("word"))
+    held = saved(held.join(wanted, ["doc_id", "word"], "left_semi"))
+    often = held.groupBy("doc_id", "word").count()
+    # a word that no text has makes its needle a miss
+    rarest = of_needle.join(often, ["doc_id", "word"], "left").groupBy("doc_id", "needle").agg(F.min_by("word", F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word")).alias("word"))
+    near = rarest.join(held, ["doc_id", "word"]).select("block_key", "needle")
+    wordless = asked.filter(F.size("words") == 0).select("doc_id", "needle")
+    by_word = indexed.join(near, "block_key")
+    return by_word.unionByName(indexed.join(wordless, "doc_id").select(*by_word.columns)).filter(contains_phrase(F.col("haystack"), F.col("needle"))).drop("haystack")
+
+
 def match_facts(facts: DataFrame, cells: DataFrame, blocks: DataFrame) -> DataFrame:
     """FACT, outcome, numeric, candidates and the first hit's cell_key and block_key.
 
@@ -76,19 +112,23 @@ def match_facts(facts: DataFrame, cells: DataFrame, blocks: DataFrame) -> DataFr
     counted per document and text (or figure) first, facts are joined to those
     counts, so a hot document never meets itself pair by pair.
     """
-    indexed = block_index(blocks)
-    # figures that differ in float noise only have one key
-    key = F.format_string("%.9e", F.col("num") + F.lit(0.0)).alias("nkey")
+    indexed = saved(block_index(blocks))
     index = cell_index(cells)
-    numbers = block_numbers(indexed).select("*", key)
+    numbers = block_numbers(indexed)
     needles = facts.filter(F.col("num").isNull() & (F.length("needle") >= LEAST_TEXT)).select("doc_id", "needle").distinct()
-    per_doc = needles.groupBy("doc_id").agg(F.collect_list("needle").alias("needles"))
-    in_text = indexed.join(per_doc, "doc_id").withColumn("needle", F.explode(F.filter("needles", lambda n: F.contains(F.col("haystack"), n)))).filter(contains_phrase(F.col("haystack"), F.col("needle"))).drop("needles", "haystack")
+    in_text = saved(phrase_places(indexed, needles))
     by_text = _hits(index, ["doc_id", "needle"], 0).unionByName(_hits(in_text.filter("in_order"), ["doc_id", "needle"], 2)).unionByName(_hits(in_text.filter("not in_order"), ["doc_id", "needle"], 4))
-    by_value = _hits(index.filter("num is not null").select("*", key), ["doc_id", "nkey"], 1).unionByName(_hits(numbers.filter("in_order"), ["doc_id", "nkey"], 3)).unionByName(_hits(numbers.filter("not in_order"), ["doc_id", "nkey"], 4))
-    asked = facts.filter("needle <> ''").select(*FACT, "needle", "num", key)
-    hits = asked.join(by_text, ["doc_id", "needle"]).select(*FACT, "tier", "candidates", "cell_key", "block_key")
-    hits = hits.unionByName(asked.filter("num is not null").join(by_value, ["doc_id", "nkey"]).select(*FACT, "tier", "candidates", "cell_key", "block_key"))
+    by_value = _hits(index.filter("num is not null"), ["doc_id", "num"], 1).unionByName(_hits(numbers.filter("in_order"), ["doc_id", "num"], 3)).unionByName(_hits(numbers.filter("not in_order"), ["doc_id", "num"], 4))
+    asked = facts.filter("needle <> ''").select(*FACT, "needle", "num")
+    first = [*FACT, "tier", "candidates", "cell_key", "block_key"]
+    hits = asked.join(by_text, ["doc_id", "needle"]).select(*first)
+    # figures that differ in float noise only are the same: neighbouring bins, then the exact rule
+    figures = asked.filter("num is not null").select("doc_id", "num").distinct()
+    near = figures.withColumn("bin", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: _bin(F.col("num")) + d)))
+    valued = by_value.withColumnRenamed("num", "value").withColumn("bin", _bin(F.col("value")))
+    met = near.join(valued, ["doc_id", "bin"]).filter(same_number(F.col("num"), F.col("value")))
+    summed = met.groupBy("doc_id", "num", "tier").agg(F.sum("candidates").alias("candidates"), *[F.min_by(c, "place").alias(c) for c in ("cell_key", "block_key")])
+    hits = hits.unionByName(asked.filter("num is not null").join(summed, ["doc_id", "num"]).select(*first))
     best = hits.groupBy(*FACT).agg(F.min_by(F.struct("tier", "candidates", "cell_key", "block_key"), "tier").alias("m"))
     names = F.array(*map(F.lit, OUTCOMES))
     out = facts.select(*FACT, "page_number", "fact", "num").join(best, FACT, "left")

@@ -80,7 +80,7 @@ def page_sources(pages: DataFrame, blocks: DataFrame, glyphs: DataFrame, force_o
     source = F.when(F.lit(force_ocr), "ocr").when(has_text, "text_layer").when(F.lit(ocr_enabled), "ocr").otherwise("failed")
     named = joined.withColumn("extraction_source", source)
     empty = F.coalesce("_blocks", F.lit(0)) == 0
-    warnings = F.array_compact(F.array(F.when(~has_text & ~F.lit(force_ocr) & F.lit(ocr_enabled), "OCR_FALLBACK"), F.when(F.col("extraction_source") == "failed", "PAGE_EXTRACTION_FAILED"), F.when(empty & (F.col("extraction_source") != "failed"), "PAGE_EMPTY")))
+    warnings = F.array_compact(F.array(F.when(~has_text & ~F.lit(force_ocr) & F.lit(ocr_enabled), "SCANNED_PAGE_OCR_FALLBACK"), F.when(F.col("extraction_source") == "failed", "PAGE_EXTRACTION_FAILED"), F.when(empty & (F.col("extraction_source") != "failed"), "PAGE_EXTRACTION_FAILED")))
     return named.withColumn("warnings", warnings).drop("_glyphs", "_blocks")
 
 

@@ -125,12 +125,20 @@ def bucket(verdict: Column, ambiguous: Column, lost: Column) -> Column:
     )
 
 
-def magnitude_locations(sources: DataFrame, keys: list[str]) -> DataFrame:
-    """location and tables: where a magnitude word stands, combined, NOWHERE if in none of the sources."""
+def magnitude_locations(tables: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
+    """location and tables: where a magnitude word stands, combined, NOWHERE if in none of the sources.
+
+    ``sources`` are those of the detector and the body cells.  Of the blocks
+    before a table only the nearest of the windows 1, 2, 3, 5 with a hit counts.
+    """
     said = sources.withColumn("hit", F.col("text").rlike(r"(?i)\b(thousand|million|billion|trillion)s?\b"))
-    place = F.when(F.col("source") == "preceding_text", F.concat(F.lit("preceding<="), F.col("src_ord").cast("string"))).otherwise(F.col("source"))
-    per = said.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("hit"), place))), "|").alias("location"))
-    return per.withColumn("location", F.when(F.col("location") == "", "NOWHERE").otherwise(F.col("location"))).groupBy("location").agg(F.count("*").alias("tables"))
+    place = F.when(F.col("hit") & (F.col("source") != "preceding_text"), F.col("source"))
+    near = F.min(F.when(F.col("hit") & (F.col("source") == "preceding_text"), F.when(F.col("src_ord") <= 3, F.col("src_ord")).when(F.col("src_ord") <= 5, 5).otherwise(F.col("src_ord"))))
+    per = said.groupBy(*keys).agg(F.collect_set(place).alias("places"), near.alias("near"))
+    all_ = F.array_sort(F.array_compact(F.array_append("places", F.concat(F.lit("preceding<="), F.col("near").cast("string")))))
+    named = per.withColumn("location", F.nullif(F.array_join(all_, "|"), F.lit("")))
+    every = tables.select(*keys).distinct().join(named, keys, "left").withColumn("location", F.coalesce("location", F.lit("NOWHERE")))
+    return every.groupBy("location").agg(F.count("*").alias("tables"))
 
 
 def type_histogram(blocks: DataFrame) -> DataFrame:

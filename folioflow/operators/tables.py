@@ -96,3 +96,9 @@ def scale_sources(tables: DataFrame, cells: DataFrame, ordered: DataFrame, windo
     said = ordered.select("doc_id", "page_number", "emit_index", "text")
     before = near.join(said, ["doc_id", "page_number", "emit_index"]).select(*KEYS, F.lit("preceding_text").alias("source"), F.col("offset").alias("src_ord"), "text")
     return captions.unionByName(headers).unionByName(labels).unionByName(stems).unionByName(before).filter(strip(F.coalesce("text", F.lit(""))) != "")
+
+
+def body_texts(cells: DataFrame) -> DataFrame:
+    """KEYS, source (body_cell), src_ord and text of the cells beside the headers and the first column."""
+    body = cells.filter(~F.coalesce("is_header", F.lit(False)) & (F.col("col_idx") > 0) & (strip(F.coalesce("text", F.lit(""))) != ""))
+    return body.select(*KEYS, F.lit("body_cell").alias("source"), F.col("cell_ord").alias("src_ord"), "text")

@@ -209,15 +209,59 @@ TYPOGRAPHY_PROBE = f"""
 
 def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = layout.line_rows(layout.group_lines(_glyphs(spark, sf_dir)))
-    return lines.select("page_number", "line_no", "text", "font_size", "n_glyphs")
+    return lines.select("page_number", F.col("line_no").cast("bigint").alias("line_no"), "text", "font_size", "n_glyphs", "x0", "y0", "x1", "y1")
 
 
 def layout_body_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    glyphs = _glyphs(spark, sf_dir).withColumn("doc_id", (F.col("page_number") % 10).cast("string"))
-    return layout.body_size(glyphs)
+    return layout.body_size(layout.line_rows(layout.group_lines(_glyphs(spark, sf_dir)))).select("page_number", "body_size")
 
 
-LAYOUT_BODY_SIZE = f"WITH {_GLYPHS} SELECT (page_number % 10)::VARCHAR AS doc_id, median(font_size) AS body_size FROM glyphs WHERE char <> ' ' GROUP BY 1"
+def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages from glyphs to blocks."""
+    glyphs = _glyphs(spark, sf_dir)
+    pages = glyphs.select("doc_id", "page_number").distinct().withColumn("height", F.lit(800.0))
+    return layout.build_blocks(glyphs, pages).select("page_number", F.col("block_no").cast("bigint").alias("block_no"), "type", "text", "font_size", "is_bold", "n_lines", "x0", "y0", "x1", "y1")
+
+
+def layout_failed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of all users; those of every fifth have lost their glyphs."""
+    glyphs = _glyphs(spark, sf_dir)
+    pages = glyphs.select("doc_id", "page_number").distinct().withColumn("extraction_source", F.lit(None).cast("string"))
+    return layout.failed_pages(pages, glyphs.filter("page_number % 5 <> 0")).select("page_number", "extraction_source", "warning")
+
+
+#: Lines, sizes and blocks of the glyphs; the fold over a page's glyphs is a recursion over their rank.
+_LAYOUT = f"""{_GLYPHS}, inked AS (
+        SELECT *, (y0 + y1) / 2 AS cy, row_number() OVER (PARTITION BY page_number ORDER BY (y0 + y1) / 2, x0, ord) AS rn FROM glyphs WHERE char <> ' '
+    ), fold AS (
+        SELECT page_number, rn, cy AS centre, 0::BIGINT AS line_no FROM inked WHERE rn = 1
+        UNION ALL SELECT i.page_number, i.rn, CASE WHEN abs(i.cy - f.centre) <= greatest(i.font_size, 1) * 0.4 THEN f.centre ELSE i.cy END, f.line_no + CASE WHEN abs(i.cy - f.centre) <= greatest(i.font_size, 1) * 0.4 THEN 0 ELSE 1 END
+        FROM fold f JOIN inked i ON i.page_number = f.page_number AND i.rn = f.rn + 1
+    ), ink AS (SELECT i.*, f.line_no FROM inked i JOIN fold f USING (page_number, rn)),
+    boxes AS (SELECT page_number, line_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n_glyphs FROM ink GROUP BY 1, 2),
+    spaces AS (SELECT g.*, (SELECT min(b.line_no) FROM boxes b WHERE b.page_number = g.page_number AND g.y0 BETWEEN b.y0 - 1 AND b.y1 + 1 AND g.x0 BETWEEN b.x0 AND b.x1) AS line_no FROM glyphs g WHERE char = ' '),
+    placed AS (
+        SELECT page_number, line_no, char, x0, x1, font_size, cy, ord, 0 AS blank FROM ink UNION ALL SELECT page_number, line_no, char, x0, x1, font_size, (y0 + y1) / 2, ord, 1 FROM spaces WHERE line_no IS NOT NULL
+    ), pieces AS (
+        SELECT *, row_number() OVER w AS k, CASE WHEN blank = 0 AND lag(blank) OVER w = 0 AND x0 - lag(x1) OVER w > 0.45 * greatest(lag(font_size) OVER w, 1) THEN ' ' || char ELSE char END AS piece
+        FROM placed WINDOW w AS (PARTITION BY page_number, line_no ORDER BY x0, blank, cy, ord)
+    ), sizes AS (
+        SELECT page_number, line_no, font_size, row_number() OVER (PARTITION BY page_number, line_no ORDER BY count(*) DESC, font_size DESC) AS k FROM ink GROUP BY 1, 2, font_size
+    ), texts AS (SELECT page_number, line_no, trim(string_agg(piece, '' ORDER BY k)) AS text FROM pieces GROUP BY 1, 2),
+    page_lines AS (SELECT page_number, line_no, text, s.font_size, n_glyphs, x0, y0, x1, y1 FROM boxes JOIN texts USING (page_number, line_no) JOIN sizes s USING (page_number, line_no) WHERE s.k = 1),
+    body AS (SELECT page_number, median(font_size) AS body_size FROM page_lines, range(greatest(length(text), 1)) GROUP BY 1)"""
+_MERGED = """marked AS (
+        SELECT *, CASE WHEN type = 'text' AND lag(type) OVER w = 'text' AND y0 - lag(y1) OVER w <= 0.75 * greatest(lag(font_size) OVER w, 1) THEN 0 ELSE 1 END AS fresh FROM typed WHERE trim(text) <> '' WINDOW w AS (PARTITION BY page_number ORDER BY line_no)
+    ), numbered AS (SELECT *, (sum(fresh) OVER (PARTITION BY page_number ORDER BY line_no) - 1)::BIGINT AS block_no FROM marked)
+    SELECT page_number, block_no, arg_min(type, line_no) AS type, string_agg(text, ' ' ORDER BY line_no) AS text, round(median(font_size), 2) AS font_size, arg_min(type, line_no) = 'section_header' AS is_bold, count(*) AS n_lines,
+        round(min(x0), 2) AS x0, round(min(y0), 2) AS y0, round(max(x1), 2) AS x1, round(max(y1), 2) AS y1 FROM numbered GROUP BY 1, 2"""
+LAYOUT_LINES = f"WITH RECURSIVE {_LAYOUT} SELECT * FROM page_lines"
+LAYOUT_BODY_SIZE = f"WITH RECURSIVE {_LAYOUT} SELECT page_number, body_size FROM body"
+LAYOUT_BLOCKS = f"""WITH RECURSIVE {_LAYOUT}, typed AS (
+        SELECT l.*, CASE WHEN length(text) <= 60 AND (y0 + y1) / 2 <= 56.0 THEN 'page_header' WHEN length(text) <= 60 AND (y0 + y1) / 2 >= 744.0 THEN 'page_footer' WHEN font_size >= 1.15 * body_size THEN 'section_header' ELSE 'text' END AS type
+        FROM page_lines l JOIN body USING (page_number)
+    ), {_MERGED}"""
+LAYOUT_FAILED_PAGES = f"""WITH {_GLYPHS} SELECT DISTINCT page_number, CASE WHEN page_number % 5 <> 0 THEN 'text_layer' ELSE 'failed' END AS extraction_source, CASE WHEN page_number % 5 = 0 THEN 'SCANNED_PAGE_OCR_FALLBACK' END AS warning FROM glyphs"""
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,23 +276,24 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layout_merge_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.merge_blocks(_lines(spark, sf_dir)).select("page_number", F.col("block_no").cast("bigint"), "type", F.replace("text", F.lit("\n"), F.lit("/")).alias("text"), "y0", "y1")
+    return layout.merge_blocks(_lines(spark, sf_dir)).select("page_number", F.col("block_no").cast("bigint").alias("block_no"), "type", "text", "font_size", "is_bold", "n_lines", "x0", "y0", "x1", "y1")
 
 
-LAYOUT_MERGE_BLOCKS = """
+LAYOUT_MERGE_BLOCKS = f"""
     WITH per AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS q, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2),
-    lines AS (SELECT l_orderkey AS page_number, l_linenumber AS line_no, CASE WHEN f = 'A' THEN 'section_header' ELSE 'text' END AS type, l_linenumber * 14.0 + CASE WHEN q > 35 THEN 9 ELSE 0 END AS y0 FROM per),
-    marked AS (SELECT *, CASE WHEN type = 'text' AND lag(type) OVER w = 'text' AND y0 - (lag(y0) OVER w + 10) <= 7.5 THEN 0 ELSE 1 END AS fresh FROM lines WINDOW w AS (PARTITION BY page_number ORDER BY line_no)),
-    numbered AS (SELECT *, (sum(fresh) OVER (PARTITION BY page_number ORDER BY line_no) - 1)::BIGINT AS block_no FROM marked)
-    SELECT page_number, block_no, arg_min(type, line_no) AS type, string_agg('line ' || line_no, '/' ORDER BY line_no) AS text, min(y0)::DOUBLE AS y0, max(y0 + 10)::DOUBLE AS y1 FROM numbered GROUP BY page_number, block_no"""
+    placed AS (SELECT *, l_linenumber * 14.0::DOUBLE + CASE WHEN q > 35 THEN 9 ELSE 0 END AS y0 FROM per),
+    typed AS (SELECT l_orderkey AS page_number, l_linenumber AS line_no, CASE WHEN f = 'A' THEN 'section_header' ELSE 'text' END AS type, 'line ' || l_linenumber AS text, 10.0::DOUBLE AS font_size, 72.0::DOUBLE AS x0, y0, 540.0::DOUBLE AS x1, y0 + 10 AS y1 FROM placed),
+    {_MERGED}"""
 
 QUERIES = {
     "finance_parse": finance_parse, "finance_scaled_total": finance_scaled_total, "finance_unit_inheritance": finance_unit_inheritance, "scale_precedence": scale_precedence,
     "scale_candidates_found": scale_candidates_found, "validate_reject_code": validate_reject_code, "validate_document_id": validate_document_id, "cache_hit_miss": cache_hit_miss,
     "typography_probe": typography_probe, "layout_lines": layout_lines, "layout_body_size": layout_body_size, "layout_merge_blocks": layout_merge_blocks,
+    "layout_blocks": layout_blocks, "layout_failed_pages": layout_failed_pages,
 }
 ORACLES = {
     "finance_parse": FINANCE_PARSE, "finance_scaled_total": FINANCE_SCALED_TOTAL, "finance_unit_inheritance": FINANCE_UNIT_INHERITANCE, "scale_precedence": SCALE_PRECEDENCE,
     "scale_candidates_found": SCALE_CANDIDATES_FOUND, "validate_reject_code": VALIDATE_REJECT_CODE, "validate_document_id": VALIDATE_DOCUMENT_ID, "cache_hit_miss": CACHE_HIT_MISS,
-    "typography_probe": TYPOGRAPHY_PROBE, "layout_body_size": LAYOUT_BODY_SIZE, "layout_merge_blocks": LAYOUT_MERGE_BLOCKS,
+    "typography_probe": TYPOGRAPHY_PROBE, "layout_lines": LAYOUT_LINES, "layout_body_size": LAYOUT_BODY_SIZE, "layout_merge_blocks": LAYOUT_MERGE_BLOCKS,
+    "layout_blocks": LAYOUT_BLOCKS, "layout_failed_pages": LAYOUT_FAILED_PAGES,
 }

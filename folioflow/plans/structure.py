@@ -219,7 +219,8 @@ def scale_preceding_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def magnitude_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw(spark, sf_dir)
-    return report.magnitude_locations(tables.scale_sources(raw["tables"], raw["cells"], _ordered(spark, sf_dir)), K)
+    sources = tables.scale_sources(raw["tables"], raw["cells"], _ordered(spark, sf_dir))
+    return report.magnitude_locations(raw["tables"], sources.unionByName(tables.body_texts(raw["cells"])), K)
 
 
 def header_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,12 +319,17 @@ _SOURCES = f"""{_WINDOW}, starts AS (SELECT doc_id, page_number, block_ord, row_
         SELECT doc_id, page_number, block_ord, string_agg(nullif(s.text, ''), ' ' ORDER BY row_idx) AS text FROM starts s JOIN tabs t USING (doc_id, page_number, block_ord)
         WHERE row_idx < greatest(coalesce(header_rows, 0), 1) AND row_idx < n_rows AND col_idx < n_cols GROUP BY doc_id, page_number, block_ord, col_idx
     ), sources AS (
-        SELECT doc_id, page_number, block_ord, 'caption' AS place, caption AS text FROM tabs UNION ALL SELECT doc_id, page_number, block_ord, 'header', text FROM cells WHERE is_header
-        UNION ALL SELECT doc_id, page_number, block_ord, 'header', text FROM labels UNION ALL SELECT doc_id, page_number, block_ord, 'row_stem', text FROM cells WHERE col_idx = 0
-        UNION ALL SELECT doc_id, page_number, block_ord, 'preceding<=' || off, text FROM before
+        SELECT doc_id, page_number, block_ord, 'caption' AS place, NULL AS off, caption AS text FROM tabs UNION ALL SELECT doc_id, page_number, block_ord, 'header', NULL, text FROM cells WHERE is_header
+        UNION ALL SELECT doc_id, page_number, block_ord, 'header', NULL, text FROM labels UNION ALL SELECT doc_id, page_number, block_ord, 'row_stem', NULL, text FROM cells WHERE col_idx = 0
+        UNION ALL SELECT doc_id, page_number, block_ord, 'body_cell', NULL, text FROM cells WHERE NOT coalesce(is_header, false) AND col_idx > 0
+        UNION ALL SELECT doc_id, page_number, block_ord, 'before', off, text FROM before
+    ), hits AS (SELECT * FROM sources WHERE regexp_matches(text, '(?i)\\b(thousand|million|billion|trillion)s?\\b')),
+    places AS (
+        SELECT DISTINCT doc_id, page_number, block_ord, place FROM hits WHERE off IS NULL
+        UNION ALL SELECT doc_id, page_number, block_ord, 'preceding<=' || CASE min(off) WHEN 4 THEN 5 ELSE min(off) END FROM hits WHERE off IS NOT NULL GROUP BY doc_id, page_number, block_ord
     ), per AS (
-        SELECT doc_id, page_number, block_ord, coalesce(string_agg(DISTINCT CASE WHEN regexp_matches(text, '(?i)\\b(thousand|million|billion|trillion)s?\\b') THEN place END, '|' ORDER BY CASE WHEN regexp_matches(text, '(?i)\\b(thousand|million|billion|trillion)s?\\b') THEN place END), 'NOWHERE') AS location
-        FROM sources WHERE {_strip("coalesce(text, '')")} <> '' GROUP BY ALL
+        SELECT t.doc_id, t.page_number, t.block_ord, coalesce(string_agg(p.place, '|' ORDER BY p.place), 'NOWHERE') AS location FROM tabs t
+        LEFT JOIN places p ON p.doc_id = t.doc_id AND p.page_number = t.page_number AND p.block_ord = t.block_ord GROUP BY ALL
     )"""
 ORACLES = {
     "magnitude_location": f"WITH {_SOURCES} SELECT location, count(*) AS tables FROM per GROUP BY location",
@@ -375,7 +381,7 @@ ORACLES = {
     "cell_spans": f"WITH {_RAW} SELECT cell_key, CASE WHEN row_span - col_idx % 3 > 0 THEN row_span - col_idx % 3 WHEN col_span - row_idx % 2 > 0 THEN col_span - row_idx % 2 ELSE 1 END AS span FROM cells",
     "page_confidence": f"""WITH {_RAW} SELECT doc_id, page_number, CASE WHEN page_number % 7 = 3 THEN NULL ELSE round(ocr_confidence, 4) END AS confidence, coalesce(ocr_confidence < 0.75, false) AS low_confidence FROM pages""",
     "page_sources": f"""WITH {_RAW}, n AS (SELECT doc_id, page_number, (SELECT count(*) FROM blocks b WHERE b.doc_id = p.doc_id AND b.page_number = p.page_number) AS held, (SELECT count(*) FROM blocks b WHERE b.doc_id = p.doc_id AND b.page_number = p.page_number AND font_size IS NOT NULL) AS inked FROM pages p)
-        SELECT doc_id, page_number, CASE WHEN inked > 0 THEN 'text_layer' ELSE 'ocr' END AS extraction_source, concat_ws(',', CASE WHEN inked = 0 THEN 'OCR_FALLBACK' END, CASE WHEN held = 0 THEN 'PAGE_EMPTY' END) AS warnings FROM n""",
+        SELECT doc_id, page_number, CASE WHEN inked > 0 THEN 'text_layer' ELSE 'ocr' END AS extraction_source, concat_ws(',', CASE WHEN inked = 0 THEN 'SCANNED_PAGE_OCR_FALLBACK' END, CASE WHEN held = 0 THEN 'PAGE_EXTRACTION_FAILED' END) AS warnings FROM n""",
     "chunk_metadata": f"""WITH RECURSIVE {_SECTIONED} SELECT s.doc_id, page_number, order_index, block_id, coalesce(path, '') AS section, type AS content_type
         FROM sectioned s LEFT JOIN (SELECT doc_id, format('s{{:03d}}', i) AS section_id, path FROM paths) p ON p.doc_id = s.doc_id AND p.section_id = s.section_id WHERE order_index IS NOT NULL""",
     "iter_blocks": f"WITH {_ORDERED} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, order_index) - 1 AS n, page_number, block_id, type FROM placed WHERE NOT furn",
