@@ -54,12 +54,19 @@ def split_kind(name: Column) -> Column:
     return F.when(plain == "train", "train").when(plain.isin("dev", "validation"), "dev").when(plain.isin("test", "testgold"), "test")
 
 
+#: Fixed: how a heading's numbering begins, and the depth it states; the first that fits holds.
+NUMBERING = (
+    (r"\d+\.\d+\.\d+[.)]?\s+", 3),
+    (r"\d+\.\d+[.)]?\s+", 2),
+    (r"\d+[.)]\s+", 1),
+    (r"\(?[a-z]\)\s+", 3),
+    (r"(?:PART|ITEM|NOTE|SECTION)\s+[IVXLC\d]+", 1),
+)
+
+
 def numbering_depth(text: Column) -> Column:
     """Depth of a heading's numbering, null if it has none."""
-    return (
-        F.when(text.rlike(r"(?U)^\s*\d+\.\d+\.\d+[.)]?\s+"), 3)
-        .when(text.rlike(r"(?U)^\s*\d+\.\d+[.)]?\s+"), 2)
-        .when(text.rlike(r"(?U)^\s*\d+[.)]\s+"), 1)
-        .when(text.rlike(r"(?iU)^\s*\(?[a-z]\)\s+"), 3)
-        .when(text.rlike(r"(?iU)^\s*(?:PART|ITEM|NOTE|SECTION)\s+[IVXLC\d]+"), 1)
-    )
+    out = F.lit(None).cast("int")
+    for pattern, depth in reversed(NUMBERING):
+        out = F.when(text.rlike(f"(?iU)^\\s*{pattern}"), depth).otherwise(out)
+    return out

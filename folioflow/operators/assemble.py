@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.operators import furniture, headings, mapping, reading_order, scale, tables
-from folioflow.session import distinct_rows
+from folioflow.operators import furniture, headings, mapping, reading_order, running, scale, tables
+from folioflow.session import distinct_rows, saved
 
 PROCESSING_VERSION = "2"
 
@@ -27,14 +27,14 @@ def assemble(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
     grouped by document, then page.
     """
     relabelled = furniture.reclassify(raw["blocks"], raw["pages"])
-    ordered = reading_order.order_blocks(relabelled, raw["pages"])
+    # read by all that follows
+    ordered = saved(reading_order.order_blocks(relabelled, raw["pages"]))
     heads = headings.assign_levels(headings.heading_rows(ordered))
     sections = headings.build_sections(heads)
     with_section = headings.section_of_blocks(ordered, sections)
     with_level = with_section.join(heads.select("doc_id", "block_id", F.col("level").alias("heading_level")), ["doc_id", "block_id"], "left")
-    numbered = with_level.filter("type = 'table'").select("doc_id", "page_number", "block_ord", "block_id", "emit_index", "section_id")
-    by_doc = Window.partitionBy("doc_id").orderBy("page_number", "emit_index")
-    ids = numbered.withColumn("table_id", F.format_string("t%03d", F.row_number().over(by_doc) - 1))
+    on_page = with_level.filter("type = 'table'").select("doc_id", "page_number", "block_ord", "block_id", "emit_index", "section_id")
+    ids = running.numbered(on_page, ["emit_index"], "_n").withColumn("table_id", F.format_string("t%03d", "_n")).drop("_n")
     sources = tables.scale_sources(raw["tables"], raw["cells"], ordered)
     units = scale.detect_scale(sources, tables.KEYS)
     built = raw["tables"].join(ids.drop("emit_index"), tables.KEYS).join(units, tables.KEYS, "left").withColumn("scale", F.coalesce("scale", F.lit(1.0)))
@@ -59,12 +59,7 @@ def iter_blocks(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     """The blocks in the order of the pages' reading orders, numbered by document; unknown ids are skipped."""
     listed = pages.select("doc_id", "page_number", F.posexplode("reading_order").alias("pos", "block_id"))
     joined = listed.join(blocks.select("doc_id", "block_id", "type", "text"), ["doc_id", "block_id"])
-    # numbered within the page, plus the pages before: no window holds a document's blocks
-    on_page = Window.partitionBy("doc_id", "page_number").orderBy("pos")
-    earlier = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = joined.groupBy("doc_id", "page_number").count().withColumn("_base", F.coalesce(F.sum("count").over(earlier), F.lit(0))).drop("count")
-    numbered = joined.withColumn("_n", F.row_number().over(on_page) - 1).join(offsets, ["doc_id", "page_number"])
-    return numbered.select("doc_id", (F.col("_n") + F.col("_base")).alias("n"), "page_number", "block_id", "type", "text")
+    return running.numbered(joined, ["pos"], "n").select("doc_id", "n", "page_number", "block_id", "type", "text")
 
 
 def nested(frames: dict[str, DataFrame]) -> DataFrame:

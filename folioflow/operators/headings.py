@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import numbering_depth, strip
+from folioflow.operators.running import latest, numbered
 from folioflow.session import saved
 
 #: Fixed: sizes closer than this to the largest of their rank share it.
@@ -15,9 +16,9 @@ HEADINGS = ("title", "section_header")
 
 def heading_rows(ordered: DataFrame) -> DataFrame:
     """The non-blank headings of each document, numbered ``i`` from 0 in page and emit order."""
-    by_doc = Window.partitionBy("doc_id").orderBy("page_number", "emit_index")
     kept = ordered.filter(F.col("type").isin(*HEADINGS) & (strip(F.coalesce("text", F.lit(""))) != ""))
-    return kept.withColumn("i", F.row_number().over(by_doc) - 1)
+    # few beside the blocks, and read several times
+    return numbered(saved(kept), ["emit_index"], "i")
 
 
 def size_ranks(headings: DataFrame) -> DataFrame:
@@ -45,8 +46,8 @@ def assign_levels(headings: DataFrame) -> DataFrame:
     """
     ranked = headings.join(size_ranks(headings), ["doc_id", "font_size"], "left")
     own = F.when(F.col("type") == "title", 1).when(F.col("font_size").isNotNull(), F.col("size_rank") + F.coalesce(numbering_depth(F.col("text")) - 1, F.lit(0)))
-    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("_own", own).withColumn("level", F.coalesce(F.last("_own", ignorenulls=True).over(before), F.lit(1)).cast("int")).select(*headings.columns, "level")
+    known = latest(ranked.withColumn("_level", own), "i", {"_latest": F.col("_level")}, itself=True)
+    return known.withColumn("level", F.coalesce("_latest", F.lit(1)).cast("int")).select(*headings.columns, "level")
 
 
 def _deepest(leveled: DataFrame) -> int:
@@ -56,17 +57,17 @@ def _deepest(leveled: DataFrame) -> int:
 def build_sections(leveled: DataFrame) -> DataFrame:
     """The section tree: section_id, title, level, parent_section_id, path, heading_block_id, page_start.
 
-    Running windows keep the last heading of each level, of which there are few.
+    Running values keep the last heading of each level, of which there are few.
     A heading's parent is the latest of those above its level; the ancestors are
     those of ever smaller level, from the latest back.  No document is gathered
     into one row, however many headings it has.
     """
     leveled = saved(leveled.select("doc_id", "i", "level", strip(F.col("text")).alias("title"), "block_id", "page_number"))
-    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    seen = [F.last(F.when(F.col("level") == n, F.struct("i", "level", "title")), ignorenulls=True).over(before) for n in range(1, _deepest(leveled))]
+    levels = range(1, _deepest(leveled))
+    seen = latest(leveled, "i", {f"_at{n}": F.when(F.col("level") == n, F.struct("i", "level", "title")) for n in levels})
     kind = "array<struct<i:int,level:int,title:string>>"
-    above = F.array_compact(F.array(*seen)).cast(kind) if seen else F.array().cast(kind)
-    rows = leveled.withColumn("_above", above).withColumn("_above", F.sort_array(F.filter("_above", lambda x: x["level"] < F.col("level")), asc=False))
+    above = F.array_compact(F.array(*[f"_at{n}" for n in levels])).cast(kind) if levels else F.array().cast(kind)
+    rows = seen.withColumn("_above", above).withColumn("_above", F.sort_array(F.filter("_above", lambda x: x["level"] < F.col("level")), asc=False))
     chain = F.expr(f"aggregate(_above, cast(array() as {kind}), (a, x) -> if(size(a) = 0 or x.level < a[size(a) - 1].level, concat(a, array(x)), a))")
     tree = rows.withColumn("_chain", chain)
     parent = F.get("_chain", 0)["i"]
@@ -101,11 +102,12 @@ def section_pages(sections: DataFrame, blocks: DataFrame) -> DataFrame:
     """
     own = blocks.filter("section_id is not null").groupBy("doc_id", "section_id").agg(F.max("page_number").alias("own_end"))
     sections = saved(sections)
-    after = Window.partitionBy("doc_id").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
-    nexts = [F.when(F.col("level") >= n, F.min(F.when(F.col("level") == n, F.col("i"))).over(after)) for n in range(1, _deepest(sections) + 1)]
+    levels = range(1, _deepest(sections) + 1)
+    paged = latest(sections.withColumn("page_number", F.col("page_start")), "i", {f"_at{n}": F.when(F.col("level") == n, F.col("i")) for n in levels}, following=True)
+    nexts = [F.when(F.col("level") >= n, F.col(f"_at{n}")) for n in levels]
     stop = F.array_min(F.array_compact(F.array(*nexts))) if nexts else F.lit(None).cast("int")
     last = sections.groupBy("doc_id").agg(F.max("i").alias("_last"))
-    spans = sections.withColumn("_stop", stop).join(last, "doc_id").withColumn("_to", F.coalesce(F.col("_stop") - 1, F.col("_last")))
+    spans = paged.withColumn("_stop", stop).select(*sections.columns, "_stop").join(last, "doc_id").withColumn("_to", F.coalesce(F.col("_stop") - 1, F.col("_last")))
     ends = sections.select("doc_id", F.col("i").alias("_to"), "section_id", "page_start").join(own, ["doc_id", "section_id"], "left").select("doc_id", "_to", F.greatest(F.col("page_start"), F.coalesce("own_end", F.col("page_start"))).cast("int").alias("page_end"))
     return spans.join(ends, ["doc_id", "_to"]).drop("_stop", "_last", "_to")
 
