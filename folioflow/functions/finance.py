@@ -114,11 +114,6 @@ def looks_numeric(value: Column) -> Column:
     return F.coalesce(value["num"].isNotNull(), F.lit(False))
 
 
-def same_number(a: Column, b: Column) -> Column:
-    """Equality of doubles up to a billionth of the larger."""
-    return (a == b) | (F.abs(a - b) <= 1e-9 * F.greatest(F.abs(a), F.abs(b)))
-
-
 def register(spark: SparkSession) -> None:
     """The scalar operators as SQL functions that stay Catalyst expressions."""
     made = {

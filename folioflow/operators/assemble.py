@@ -62,6 +62,13 @@ def iter_blocks(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     return running.numbered(joined, ["pos"], "n").select("doc_id", "n", "page_number", "block_id", "type", "text")
 
 
+def looked_up(wanted: DataFrame, frame: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows of ``wanted`` with the first row of ``frame`` (by ``order``) of their keys, nulls if there is none."""
+    rest = [c for c in frame.columns if c not in keys]
+    first = frame.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return wanted.join(first, keys, "left").select(*wanted.columns, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
 def nested(frames: dict[str, DataFrame]) -> DataFrame:
     """One row per document with its pages, sections, tables and warnings nested, arrays in order."""
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.functions.text import strip
+
 #: Fixed: labels of a layout model and their block types; any other is text.
 LABELS = {
     "title": "title", "section_header": "section_header", "text": "text", "paragraph": "text", "reference": "text", "code": "text", "list_item": "list_item", "table": "table",
@@ -106,3 +108,58 @@ def measured(blocks: DataFrame, fonts: DataFrame, keys: list[str]) -> DataFrame:
     use = (F.col("type") != "table") & (F.coalesce("_n", F.lit(0)) > 0)
     joined = blocks.join(probe, keys, "left")
     return joined.withColumn("font_size", F.when(use, F.col("_size")).otherwise(F.col("font_size"))).withColumn("is_bold", F.when(use, F.col("_bold")).otherwise(F.col("is_bold"))).drop("_size", "_bold", "_n")
+
+
+#: Fixed: conditions a finished document may warn of; a backend's other codes are dropped.
+WARNINGS = ("SCANNED_PAGE_OCR_FALLBACK", "PAGE_EXTRACTION_FAILED", "LOW_OCR_CONFIDENCE", "TABLE_STRUCTURE_UNCERTAIN", "NO_HEADINGS_DETECTED")
+
+
+def known_warnings(warnings: DataFrame) -> DataFrame:
+    return warnings.filter(F.col("code").isin(*WARNINGS))
+
+
+def caption(text: Column) -> Column:
+    """A caption without white space around it, null if nothing is left."""
+    return F.nullif(strip(text), F.lit(""))
+
+
+def raw_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The cells of a model's grid that have a place, in order of it: keys, cell_no, cell_ord, row_idx, col_idx, text, spans, is_header.
+
+    ``cells`` has start and end offsets, the spans stated, and whether a cell
+    heads its column or its row.
+    """
+    order = Window.partitionBy(*keys).orderBy("row_idx", "col_idx", "cell_ord")
+    placed = cells.filter("row_idx is not null and col_idx is not null").withColumn("cell_no", F.row_number().over(order) - 1)
+    header = F.coalesce("column_header", F.lit(False)) | F.coalesce("row_header", F.lit(False))
+    return placed.select(
+        *keys, "cell_no", "cell_ord", "row_idx", "col_idx", F.coalesce("text", F.lit("")).alias("text"), span(F.col("row_idx"), F.col("row_end"), F.col("row_span")).alias("row_span"),
+        span(F.col("col_idx"), F.col("col_end"), F.col("col_span")).alias("col_span"), header.alias("is_header"),
+    )
+
+
+def raw_tables(tables: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_rows, n_cols and caption; a grid that states no size has that of its cells' ends."""
+    ends = cells.groupBy(*keys).agg(F.max("row_end").alias("_r"), F.max("col_end").alias("_c"))
+    unstated = (F.coalesce("n_rows", F.lit(0)) == 0) | (F.coalesce("n_cols", F.lit(0)) == 0)
+    sized = tables.join(ends, keys, "left")
+    rows, cols = (F.when(unstated, F.coalesce(e, F.lit(0))).otherwise(F.col(n)) for e, n in (("_r", "n_rows"), ("_c", "n_cols")))
+    return sized.select(*keys, rows.alias("n_rows"), cols.alias("n_cols"), caption(F.col("caption")).alias("caption"))
+
+
+def walk_items(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks, warnings) of a model's items: doc_id, page_number, item_ord, label, text, has_grid, n_rows, n_cols.
+
+    Items without a page become one warning a document; an item with a grid is a
+    table without text, warned of if it has no rows or columns; other items
+    without text are dropped unless they are figures.
+    """
+    paged = items.filter("page_number > 0")
+    grid = F.coalesce("has_grid", F.lit(False))
+    kind = F.when(grid, "table").otherwise(map_label(F.col("label")))
+    text = F.when(grid, "").otherwise(strip(F.coalesce("text", F.lit(""))))
+    typed = paged.withColumn("type", kind).withColumn("text", text)
+    blocks = typed.filter("type in ('table', 'figure') or text <> ''").select("doc_id", "page_number", "item_ord", "type", "text")
+    empty = typed.filter(grid & ((F.coalesce("n_rows", F.lit(0)) == 0) | (F.coalesce("n_cols", F.lit(0)) == 0)))
+    uncertain = empty.select("doc_id", F.lit("TABLE_STRUCTURE_UNCERTAIN").alias("code"), F.lit("a table without rows or columns").alias("message"), F.col("page_number").alias("page"))
+    return blocks, unplaced_warning(items).unionByName(uncertain)

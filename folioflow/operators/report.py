@@ -7,6 +7,8 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.functions.text import split_kind
+
 #: Fixed: answer types that every report lists, fields in which two runs must agree to be comparable.
 ANSWER_TYPES = ("span", "multi-span", "arithmetic", "count")
 COMPARABLE = ("backend", "backend_version", "model_versions", "split", "seed", "limit", "force_ocr", "gold_sha256")
@@ -165,7 +167,7 @@ def exact_sample(ids: list[str], limit: int, seed: int) -> list[str]:
 
 def split_manifest(documents: DataFrame, questions: DataFrame) -> DataFrame:
     """split, documents and questions of each split."""
-    named = documents.select(F.col("doc_uid"), F.col("page"), F.lower(F.trim("split_name")).alias("split")).distinct()
+    named = documents.select(F.col("doc_uid"), F.col("page"), split_kind(F.col("split_name")).alias("split")).distinct()
     counted = questions.groupBy("doc_uid", "page").agg(F.countDistinct("question_key").alias("n"))
     return named.join(counted, ["doc_uid", "page"], "left").groupBy("split").agg(F.countDistinct("doc_uid").alias("documents"), F.sum(F.coalesce("n", F.lit(0))).alias("questions"))
 

@@ -76,7 +76,33 @@ def reject_code(uploads: DataFrame, max_mb: int = 25, max_pages: int = 500) -> D
     return ready.withColumn("reject", code).withColumn("status", F.coalesce(F.try_element_at(status, F.col("reject")), F.lit(200))).drop("_options")
 
 
+def open_error(message: Column) -> Column:
+    """The code of a reader's message: a document under a password, or one that cannot be opened."""
+    said = F.lower(message)
+    return F.when(said.contains("password") | said.contains("encrypt"), "ENCRYPTED_PDF").otherwise("INVALID_PDF")
+
+
+#: Fixed: settings with the range or the words that each allows.
+SETTINGS = {
+    "port": (1, 65535), "max_upload_mb": (1, None), "max_pages": (1, None), "text_density_threshold": (0, None), "low_confidence_threshold": (0.0, 1.0), "render_dpi": (1, None), "threads": (1, None), "table_mode": ("accurate", "fast"),
+}
+
+
+def settings_errors(settings: DataFrame) -> DataFrame:
+    """The rows with ``errors``: the names of settings beyond what they allow, in order; a null has the default."""
+    wrong = []
+    for name, allowed in SETTINGS.items():
+        value = F.col(name)
+        if isinstance(allowed[0], str):
+            bad = ~value.isin(*allowed)
+        else:
+            bad = (value < allowed[0]) if allowed[1] is None else ~value.between(*allowed)
+        wrong.append(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)))
+    return settings.withColumn("errors", F.array_compact(F.array(*wrong)))
+
+
 def error_bodies(rejected: DataFrame) -> DataFrame:
-    """error_code, message, document_id and detail of rejected uploads."""
+    """error_code, message, document_id and detail of rejected uploads; ``reason``, if there is one, goes to detail."""
     message = F.replace(F.lower("reject"), F.lit("_"), F.lit(" "))
-    return rejected.filter("reject is not null").select(F.col("reject").alias("error_code"), message.alias("message"), "document_id", F.lit(None).cast("string").alias("detail"))
+    reason = F.when(F.col("reason").isNotNull(), F.to_json(F.struct("reason"))) if "reason" in rejected.columns else F.lit(None).cast("string")
+    return rejected.filter("reject is not null").select(F.col("reject").alias("error_code"), message.alias("message"), "document_id", reason.alias("detail"))

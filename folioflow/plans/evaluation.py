@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.finance import DASH_WORDS, SYMBOLS
-from folioflow.functions.text import DASHES
+from folioflow.functions.text import DASHES, split_kind
 from folioflow.operators import assemble, evaluate, furniture, report
 from folioflow.plans import structure
 from folioflow.session import distinct_rows, saved, table
@@ -113,7 +113,7 @@ def runs_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _split_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two runs over different documents: those with a dev and those with a train page."""
-    g = table(spark, sf_dir, "gold_documents").select(F.col("doc_uid").alias("doc_id"), F.lower(F.trim("split_name")).alias("split"))
+    g = table(spark, sf_dir, "gold_documents").select(F.col("doc_uid").alias("doc_id"), split_kind(F.col("split_name")).alias("split"))
     return g.filter("split = 'dev'"), g.filter("split = 'train'")
 
 
@@ -268,7 +268,9 @@ _STRUCTURE = f"""{_MATCHES}, {_ALL}, structure AS (
         LEFT JOIN (SELECT doc_id, count(*) AS tables, count(*) FILTER (scale <> 1.0) AS scaled FROM all_run_scales GROUP BY 1) t USING (doc_id)
         LEFT JOIN (SELECT doc_id, count(*) AS cells, count(*) FILTER (NOT coalesce(is_header, false) AND num IS NOT NULL) AS parsed FROM cells LEFT JOIN cell_num USING (text) GROUP BY 1) c USING (doc_id)
     )"""
-_SPLITS = "g AS (SELECT doc_uid AS doc_id, lower(trim(split_name)) AS split FROM gold_documents)"
+_KIND = """CASE WHEN regexp_replace(lower(split_name), '[\\s_-]+', '', 'g') = 'train' THEN 'train' WHEN regexp_replace(lower(split_name), '[\\s_-]+', '', 'g') IN ('dev', 'validation') THEN 'dev'
+    WHEN regexp_replace(lower(split_name), '[\\s_-]+', '', 'g') IN ('test', 'testgold') THEN 'test' END"""
+_SPLITS = f"g AS (SELECT doc_uid AS doc_id, {_KIND} AS split FROM gold_documents)"
 ORACLES = {
     "match_outcomes": f"WITH {_MATCHES} SELECT question_key, fact_ord, outcome, numeric, candidates, found AND candidates = 1 AS unique_hit FROM matches",
     "match_first_hit": f"WITH {_MATCHES} SELECT question_key, fact_ord, cell_key, block_key FROM matches",
@@ -293,7 +295,7 @@ ORACLES = {
     "runs_restrict": f"WITH {_SPLITS} SELECT doc_id, count(*) AS n_rows FROM g WHERE split = 'dev' AND doc_id IN (SELECT doc_id FROM g WHERE split = 'train') GROUP BY 1",
     "runs_coverage": f"""WITH {_SPLITS}, n AS (SELECT (SELECT count(*) FROM (SELECT doc_id FROM g WHERE split = 'dev' INTERSECT SELECT doc_id FROM g WHERE split = 'train')) AS common)
         SELECT split AS run, count(DISTINCT doc_id) AS documents, common, count(DISTINCT doc_id) = common AS covered FROM g, n WHERE split IN ('dev', 'train') GROUP BY split, common""",
-    "split_manifest": """WITH d AS (SELECT DISTINCT doc_uid, page, lower(trim(split_name)) AS split FROM gold_documents), q AS (SELECT doc_uid, page, count(DISTINCT question_key) AS n FROM gold_questions GROUP BY 1, 2)
+    "split_manifest": f"""WITH d AS (SELECT DISTINCT doc_uid, page, {_KIND} AS split FROM gold_documents), q AS (SELECT doc_uid, page, count(DISTINCT question_key) AS n FROM gold_questions GROUP BY 1, 2)
         SELECT split, count(DISTINCT doc_uid) AS documents, sum(coalesce(n, 0))::BIGINT AS questions FROM d LEFT JOIN q USING (doc_uid, page) GROUP BY split""",
     "scale_by_gold": """SELECT lower(trim(coalesce(scale, ''))) AS gold, CASE lower(trim(coalesce(scale, ''))) WHEN '' THEN 1.0 WHEN 'thousand' THEN 1e3 WHEN 'million' THEN 1e6 WHEN 'billion' THEN 1e9 END::DOUBLE AS factor, count(*) AS questions
         FROM (SELECT DISTINCT question_key, scale FROM gold_questions) GROUP BY ALL""",

@@ -29,8 +29,21 @@ def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return runs, documents
 
 
-def write_results(documents: DataFrame, path: str) -> None:
-    documents.write.mode("append").json(path)
+def write_results(documents: DataFrame, path: str, run: DataFrame | None = None) -> None:
+    """Appends a line for each document; ``run`` (one row) is the line of run data before them.
+
+    The run's line is written as a part of its own that sorts before the others.
+    """
+    if run is not None:
+        run.select(F.lit("run").alias("record"), *run.columns).coalesce(1).write.mode("append").json(f"{path}/part=0")
+    documents.select(F.lit("document").alias("record"), *[c for c in documents.columns if c != "record"]).write.mode("append").json(f"{path}/part=1")
+
+
+def read_written(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(the run's row, the documents' rows) of a folder that ``write_results`` wrote, in parallel; broken lines are left out."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).withColumn("json", F.expr("try_parse_json(value)")).filter("json is not null")
+    kind = F.get_json_object("value", "$.record")
+    return lines.filter(kind == "run").select(F.from_json("value", RUN).alias("r")).select("r.*"), lines.filter(kind == "document").select(F.from_json("value", DOCUMENT).alias("d")).select("d.*")
 
 
 def pending(documents: DataFrame, done: DataFrame, key: str) -> DataFrame:
