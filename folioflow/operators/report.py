@@ -172,11 +172,24 @@ def split_manifest(documents: DataFrame, questions: DataFrame) -> DataFrame:
     return named.join(counted, ["doc_uid", "page"], "left").groupBy("split").agg(F.countDistinct("doc_uid").alias("documents"), F.sum(F.coalesce("n", F.lit(0))).alias("questions"))
 
 
-def render(sliced: DataFrame) -> str:
-    """A text report of the few rows of ``slices``."""
-    lines = ["answer type      questions  supported     facts     found"]
-    lines += [f"{r['answer_type']:<16} {r['questions']:>9} {r['supported']:>10} {r['facts']:>9} {r['found']:>9}" for r in sliced.orderBy("answer_type").collect()]
-    return "\n".join(lines)
+def render(metrics: DataFrame, sliced: DataFrame, outcomes: DataFrame) -> str:
+    """A text report of a run's totals (metric, value), slices and outcomes, a few rows each."""
+    value = {r["metric"]: r["value"] for r in metrics.collect()}
+    lines = [f"documents  {value['documents_ok']:.0f} read, {value['documents_failed']:.0f} failed, {value['cached_documents']:.0f} from the cache"]
+    if value["parsed_documents"]:
+        lines.append(f"speed      {value['seconds_per_document']:.1f} s a document, {value['seconds_per_page']:.2f} s a page")
+    lines += ["", *(f"{name.replace('_', ' '):<20}{value[name]:6.1f} %" for name in ("fact_recall", "question_support", "unique_rate", "parsed_number_rate", "table_fact_share")), ""]
+    lines += [f"{'answer type':<16}{'questions':>10}{'supported':>11}{'facts':>10}{'found':>10}"]
+    lines += [f"{r['answer_type']:<16}{r['questions']:>10}{r['supported']:>11}{r['facts']:>10}{r['found']:>10}" for r in sliced.orderBy("answer_type").collect() if r["questions"]]
+    return "\n".join([*lines, "", *(f"{r['outcome']:<20}{r['facts']:>8}" for r in outcomes.orderBy("outcome").collect())])
+
+
+def render_failures(causes: DataFrame, failed: DataFrame, worst: DataFrame) -> str:
+    """A text report of what was not recovered: causes, the commonest first, then documents."""
+    rows = sorted(causes.collect(), key=lambda r: (-r["facts"], r["cause"]))
+    lines = [f"{sum(r['facts'] for r in rows)} facts not recovered", *(f"  {r['cause']:<26}{r['facts']:>8}" for r in rows)]
+    lines += [f"  {r['doc_id']}: {r['error']}" for r in failed.orderBy("doc_id").limit(20).collect()]  # a report's first lines
+    return "\n".join([*lines, *(f"  {r['doc_id']}: {r['unsupported']} questions without support" for r in worst.collect())])
 
 
 def to_json(sliced: DataFrame) -> DataFrame:

@@ -99,6 +99,23 @@ SCALE_PRECEDENCE = """
     FROM (SELECT o_orderkey, o_orderkey % 5 AS k5, o_orderkey % 7 AS k7, o_orderkey % 11 AS k11, o_orderkey % 13 AS k13 FROM orders)"""
 
 
+def scale_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scale.describe(scale_precedence(spark, sf_dir)).select("o_orderkey", "provenance")
+
+
+SCALE_DESCRIBED = f"""SELECT o_orderkey, CASE WHEN scale_source IS NULL THEN 'no magnitude declared' ELSE CASE scale WHEN 1e3 THEN '1000' WHEN 1e6 THEN '1e+06' ELSE '1e+09' END
+        || ' from ' || scale_source || ' (' || chr(39) || scale_label || chr(39) || ')' || CASE WHEN ambiguous THEN ' AMBIGUOUS' ELSE '' END END AS provenance
+    FROM ({SCALE_PRECEDENCE})"""
+
+
+def scale_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the captions alone declare."""
+    return scale.parse_scale(_order_sources(spark, sf_dir).filter("source = 'caption'").withColumnRenamed("text", "caption"), ["o_orderkey"])
+
+
+SCALE_PARSED = """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 1e6 WHEN 1 THEN 1e3 ELSE 1.0 END AS scale, CASE o_orderkey % 5 WHEN 0 THEN 'in millions' WHEN 1 THEN 'in thousands' END AS scale_label, CASE WHEN o_orderkey % 5 = 1 THEN 'USD' END AS currency FROM orders"""
+
+
 def scale_candidates_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scale.find_candidates(_order_sources(spark, sf_dir), strict=F.col("source") == "preceding_text")
     return found.groupBy("source", "label", "scale", "currency").agg(F.count("*").alias("declarations"))
@@ -289,11 +306,11 @@ QUERIES = {
     "finance_parse": finance_parse, "finance_scaled_total": finance_scaled_total, "finance_unit_inheritance": finance_unit_inheritance, "scale_precedence": scale_precedence,
     "scale_candidates_found": scale_candidates_found, "validate_reject_code": validate_reject_code, "validate_document_id": validate_document_id, "cache_hit_miss": cache_hit_miss,
     "typography_probe": typography_probe, "layout_lines": layout_lines, "layout_body_size": layout_body_size, "layout_merge_blocks": layout_merge_blocks,
-    "layout_blocks": layout_blocks, "layout_failed_pages": layout_failed_pages,
+    "scale_described": scale_described, "scale_parsed": scale_parsed, "layout_blocks": layout_blocks, "layout_failed_pages": layout_failed_pages,
 }
 ORACLES = {
     "finance_parse": FINANCE_PARSE, "finance_scaled_total": FINANCE_SCALED_TOTAL, "finance_unit_inheritance": FINANCE_UNIT_INHERITANCE, "scale_precedence": SCALE_PRECEDENCE,
     "scale_candidates_found": SCALE_CANDIDATES_FOUND, "validate_reject_code": VALIDATE_REJECT_CODE, "validate_document_id": VALIDATE_DOCUMENT_ID, "cache_hit_miss": CACHE_HIT_MISS,
     "typography_probe": TYPOGRAPHY_PROBE, "layout_lines": LAYOUT_LINES, "layout_body_size": LAYOUT_BODY_SIZE, "layout_merge_blocks": LAYOUT_MERGE_BLOCKS,
-    "layout_blocks": LAYOUT_BLOCKS, "layout_failed_pages": LAYOUT_FAILED_PAGES,
+    "scale_described": SCALE_DESCRIBED, "scale_parsed": SCALE_PARSED, "layout_blocks": LAYOUT_BLOCKS, "layout_failed_pages": LAYOUT_FAILED_PAGES,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.functions.finance import looks_numeric, parse_values
 from folioflow.operators import assemble, evaluate, mapping, report, runs, tables, validate
 from folioflow.plans import evaluation, structure
 from folioflow.session import distinct_rows, saved, table
@@ -190,6 +191,13 @@ def type_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def numeric_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that look like figures, by page."""
+    cells = assemble.raw_frames(spark, sf_dir)["cells"]
+    read = parse_values(cells.select("text").distinct(), F.col("text")).select("text", looks_numeric(F.col("value")).alias("numeric"))
+    return cells.select("doc_id", "page_number", "text").join(read, "text").groupBy("doc_id", "page_number").agg(F.count_if("numeric").alias("numeric"), F.count("*").alias("cells"))
+
+
 def gold_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = evaluation._questions(spark, sf_dir)
     return q.select("question_key", evaluate.gold_factor(F.col("scale")).alias("factor"))
@@ -220,7 +228,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         run_roll_up, run_failures, run_causes, run_resumed, run_pending, runs_incompatible, scale_corroborated, scale_spurious_labels, scale_buckets, item_blocks, item_warnings, warnings_known, grid_cells, grid_tables, page_scales, fonts_measured,
-        items_unplaced, page_lookup, table_context, type_statistics, gold_factors, open_errors, settings_errors,
+        items_unplaced, page_lookup, table_context, type_statistics, numeric_cells, gold_factors, open_errors, settings_errors,
     )
 }
 
@@ -278,6 +286,7 @@ ORACLES = {
     "table_context": f"""WITH {structure._WINDOW}, b AS (SELECT doc_id, page_number, block_ord, count(*) AS n, min(off) AS nearest FROM before GROUP BY 1, 2, 3)
         SELECT doc_id, page_number, block_ord, nullif({structure._strip("caption")}, '') AS caption, coalesce(n, 0) AS n_before, nearest FROM tabs LEFT JOIN b USING (doc_id, page_number, block_ord)""",
     "type_statistics": f"WITH {structure._RAW} SELECT type, count(*) AS blocks, count(DISTINCT doc_id) AS documents, sum(length(coalesce(text, '')))::BIGINT AS chars, round(avg(is_bold::INT), 4) AS bold_share, count(*) FILTER (bbox IS NULL) AS without_box FROM blocks GROUP BY 1",
+    "numeric_cells": f"WITH {evaluation._MATCHES} SELECT doc_id, page_number, count(*) FILTER (num IS NOT NULL) AS numeric, count(*) AS cells FROM cells LEFT JOIN cell_num USING (text) WHERE text IS NOT NULL GROUP BY 1, 2",
     "gold_factors": "SELECT DISTINCT question_key, CASE lower(trim(coalesce(scale, ''))) WHEN '' THEN 1.0::DOUBLE WHEN 'thousand' THEN 1e3 WHEN 'million' THEN 1e6 WHEN 'billion' THEN 1e9 END AS factor FROM gold_questions",
     "open_errors": """SELECT CASE WHEN event_id % 4 < 2 THEN 'ENCRYPTED_PDF' ELSE 'INVALID_PDF' END AS error_code, CASE WHEN event_id % 4 < 2 THEN 'encrypted pdf' ELSE 'invalid pdf' END AS message, event_id::VARCHAR AS document_id,
             CASE WHEN event_id % 4 > 1 THEN '{"reason":"Data format error."}' END AS detail FROM events""",

@@ -8,7 +8,6 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,8 +84,3 @@ def read_bytes(folder: str, column: str) -> bytes:
 def parallelism(spark: SparkSession) -> int:
     """Partitions for a shuffle whose work is done in Python: the session's own setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def or_empty(text):
-    """The text, a null as the empty string."""
-    return F.coalesce(text, F.lit(""))
