@@ -7,12 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import DASHES, nfkc, squeeze
+from folioflow.functions.text import DASHES, NUMBERING, nfkc, squeeze
 
 #: Fixed: currency signs and codes, in the order they are looked for.
 SYMBOLS = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "₩": "KRW", "₹": "INR", "₽": "RUB", "₣": "FRF"}
 #: Fixed: words that mean nothing here.
 DASH_WORDS = ("n/a", "na", "nil", "none", "not applicable", "—", "–")
+#: Fixed: a footnote mark, and a figure with its thousands grouped or not.
 _MARKER = r"\s*(?:\([0-9a-z]{1,3}\)|[*†‡§]{1,3})"
 _NUMBER = r"^[+-]?(?:\d{1,3}(?:[, ]\d{3})+|\d+)(?:\.\d+)?$"
 
@@ -118,11 +119,7 @@ def register(spark: SparkSession) -> None:
     """The scalar operators as SQL functions that stay Catalyst expressions."""
     made = {
         "furniture_key": "lower(trim(regexp_replace(regexp_replace(x, '(?U)\\\\d+', '#'), '(?U)\\\\s+', ' ')))",
-        "numbering_depth": reduce(
-            lambda rest, rule: f"CASE WHEN x RLIKE '{rule[0]}' THEN {rule[1]} ELSE {rest} END",
-            reversed([("^\\\\s*\\\\d+\\\\.\\\\d+\\\\.\\\\d+[.)]?\\\\s+", 3), ("^\\\\s*\\\\d+\\\\.\\\\d+[.)]?\\\\s+", 2), ("^\\\\s*\\\\d+[.)]\\\\s+", 1), ("(?i)^\\\\s*\\\\(?[a-z]\\\\)\\\\s+", 3), ("(?i)^\\\\s*(PART|ITEM|NOTE|SECTION)\\\\s+[IVXLC0-9]+", 1)]),
-            "CAST(NULL AS INT)",
-        ),
+        "numbering_depth": reduce(lambda rest, rule: f"CASE WHEN x RLIKE '(?iU)^\\\\s*{rule[0].replace(chr(92), chr(92) * 2)}' THEN {rule[1]} ELSE {rest} END", reversed(NUMBERING), "CAST(NULL AS INT)"),
     }
     kinds = {"furniture_key": "STRING", "numbering_depth": "INT"}
     for name, body in made.items():

@@ -210,7 +210,7 @@ def _parse_sql(name: str, source: str) -> str:
     {name}_e AS (SELECT *, {code} AS d FROM {name}_d),
     {name}_f AS (SELECT *, NOT outer_p AND regexp_full_match(d, '\(.*\)') AND length(d) > 2 AS inner_p FROM {name}_e),
     {name}_g AS (SELECT *, CASE WHEN inner_p THEN trim(substr(d, 2, length(d) - 2)) ELSE d END AS e FROM {name}_f),
-    {name} AS (SELECT text, x <> '' AND dash AS is_dash, CASE WHEN x <> '' AND NOT dash AND regexp_full_match(e, '[+-]?(?:\d{{1,3}}(?:[, ]\d{{3}})+|\d+)(?:\.\d+)?')
+    {name} AS (SELECT text, x <> '' AND dash AS is_dash, ends_with(b, '%') AS pct, CASE WHEN x <> '' AND NOT dash AND regexp_full_match(e, '[+-]?(?:\d{{1,3}}(?:[, ]\d{{3}})+|\d+)(?:\.\d+)?')
         THEN CASE WHEN outer_p OR inner_p THEN -abs(replace(replace(e, ',', ''), ' ', '')::DOUBLE) ELSE replace(replace(e, ',', ''), ' ', '')::DOUBLE END END AS num FROM {name}_g)"""
 
 

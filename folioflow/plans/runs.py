@@ -198,6 +198,30 @@ def numeric_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("doc_id", "page_number", "text").join(read, "text").groupBy("doc_id", "page_number").agg(F.count_if("numeric").alias("numeric"), F.count("*").alias("cells"))
 
 
+def cell_values_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells' values under the scales recorded for their tables."""
+    units = evaluation._recorded(spark, sf_dir).withColumn("currency", F.lit(None).cast("string"))
+    cells = assemble.raw_frames(spark, sf_dir)["cells"].select("cell_key", *K, "text", "is_header")
+    return tables.cell_values(cells, units).select("cell_key", "value.num", "value.scaled", "value.is_dash")
+
+
+def nested_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each nested document holds."""
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
+    n_blocks = F.aggregate("pages", F.lit(0), lambda a, p: a + F.coalesce(F.size(p["blocks"]), F.lit(0))).cast("bigint")
+    n_warnings = F.when(F.col("warnings").isNull(), 0).otherwise(F.size("warnings")).cast("bigint")
+    nested = structure.nested_document(spark, sf_dir)
+    lists = {c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("bigint") for c in ("sections", "tables")}
+    return nested.select("doc_id", size("pages").alias("pages"), n_blocks.alias("blocks"), *[v.alias(k) for k, v in lists.items()], n_warnings.alias("warnings"), "contract_version")
+
+
+def stable_hash_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a second run, with another account of its processing, has the same hash."""
+    nested = structure.nested_document(spark, sf_dir)
+    once, again = (assemble.stable_hash(nested.withColumn("processing", F.lit(x))).withColumnRenamed("stable_hash", x) for x in ("first", "second"))
+    return once.join(again, "doc_id").select("doc_id", (F.col("first") == F.col("second")).alias("same"))
+
+
 def gold_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = evaluation._questions(spark, sf_dir)
     return q.select("question_key", evaluate.gold_factor(F.col("scale")).alias("factor"))
@@ -228,7 +252,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         run_roll_up, run_failures, run_causes, run_resumed, run_pending, runs_incompatible, scale_corroborated, scale_spurious_labels, scale_buckets, item_blocks, item_warnings, warnings_known, grid_cells, grid_tables, page_scales, fonts_measured,
-        items_unplaced, page_lookup, table_context, type_statistics, numeric_cells, gold_factors, open_errors, settings_errors,
+        items_unplaced, page_lookup, table_context, type_statistics, numeric_cells, cell_values_recorded, nested_counts, stable_hash_holds, gold_factors, open_errors, settings_errors,
     )
 }
 
@@ -287,6 +311,12 @@ ORACLES = {
         SELECT doc_id, page_number, block_ord, nullif({structure._strip("caption")}, '') AS caption, coalesce(n, 0) AS n_before, nearest FROM tabs LEFT JOIN b USING (doc_id, page_number, block_ord)""",
     "type_statistics": f"WITH {structure._RAW} SELECT type, count(*) AS blocks, count(DISTINCT doc_id) AS documents, sum(length(coalesce(text, '')))::BIGINT AS chars, round(avg(is_bold::INT), 4) AS bold_share, count(*) FILTER (bbox IS NULL) AS without_box FROM blocks GROUP BY 1",
     "numeric_cells": f"WITH {evaluation._MATCHES} SELECT doc_id, page_number, count(*) FILTER (num IS NOT NULL) AS numeric, count(*) AS cells FROM cells LEFT JOIN cell_num USING (text) WHERE text IS NOT NULL GROUP BY 1, 2",
+    "cell_values_recorded": f"""WITH {evaluation._MATCHES}, {evaluation._ALL} SELECT cell_key, n.num, CASE WHEN pct THEN n.num ELSE n.num * coalesce(s.scale, 1.0)::DOUBLE END AS scaled, CASE WHEN n.is_dash THEN true WHEN n.num IS NOT NULL THEN false END AS is_dash
+        FROM cells c LEFT JOIN all_run_scales s ON s.doc_id = c.doc_id AND s.page_number = c.page_number AND s.block_ord = c.block_ord LEFT JOIN cell_num n ON n.text = c.text AND NOT coalesce(c.is_header, false)""",
+    "nested_counts": f"""WITH RECURSIVE {structure._HEADS}, p AS (SELECT doc_id, count(*) AS pages, count(*) FILTER (ocr_confidence < 0.75) AS low, count(*) FILTER (extraction_source = 'failed') AS failed FROM pages GROUP BY 1)
+        SELECT p.doc_id, p.pages, coalesce(b.n, 0) AS blocks, coalesce(h.n, 0) AS sections, coalesce(t.n, 0) AS tables, low + failed + CASE WHEN b.n > 0 AND h.n IS NULL THEN 1 ELSE 0 END AS warnings, '1.0' AS contract_version FROM p
+        LEFT JOIN (SELECT doc_id, count(*) AS n FROM placed GROUP BY 1) b USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM heads GROUP BY 1) h USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM tabs GROUP BY 1) t USING (doc_id)""",
+    "stable_hash_holds": "SELECT DISTINCT doc_id, true AS same FROM raw_pages",
     "gold_factors": "SELECT DISTINCT question_key, CASE lower(trim(coalesce(scale, ''))) WHEN '' THEN 1.0::DOUBLE WHEN 'thousand' THEN 1e3 WHEN 'million' THEN 1e6 WHEN 'billion' THEN 1e9 END AS factor FROM gold_questions",
     "open_errors": """SELECT CASE WHEN event_id % 4 < 2 THEN 'ENCRYPTED_PDF' ELSE 'INVALID_PDF' END AS error_code, CASE WHEN event_id % 4 < 2 THEN 'encrypted pdf' ELSE 'invalid pdf' END AS message, event_id::VARCHAR AS document_id,
             CASE WHEN event_id % 4 > 1 THEN '{"reason":"Data format error."}' END AS detail FROM events""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import numbering_depth, strip
+from folioflow.functions.text import NUMBERING, numbering_depth, strip
 from folioflow.operators import assemble, furniture, headings, mapping, reading_order, report, scale, tables
 
 K = tables.KEYS
@@ -59,8 +59,7 @@ def _order_sql(rtl: bool) -> str:
 
 
 _ORDERED = _order_sql(False)
-_DEPTH = rf"""CASE WHEN regexp_matches(text, '^{WS}*\p{{Nd}}+\.\p{{Nd}}+\.\p{{Nd}}+[.)]?{WS}+') THEN 3 WHEN regexp_matches(text, '^{WS}*\p{{Nd}}+\.\p{{Nd}}+[.)]?{WS}+') THEN 2
-        WHEN regexp_matches(text, '^{WS}*\p{{Nd}}+[.)]{WS}+') THEN 1 WHEN regexp_matches(text, '(?i)^{WS}*\(?[a-z]\){WS}+') THEN 3 WHEN regexp_matches(text, '(?i)^{WS}*(?:PART|ITEM|NOTE|SECTION){WS}+[IVXLC\p{{Nd}}]+') THEN 1 END"""
+_DEPTH = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i)^{WS}*" + pattern.replace(r"\d", r"\p{Nd}").replace(r"\s", WS) + f"') THEN {depth}" for pattern, depth in NUMBERING) + " END"
 _HEADS = f"""{_ORDERED},
     heads AS (
         SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, emit_index) - 1 AS i, {_DEPTH} AS depth FROM placed
