@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.text import NUMBERING, numbering_depth, strip
 from folioflow.operators import assemble, furniture, headings, mapping, reading_order, report, scale, tables
+from folioflow.session import saved
 
 K = tables.KEYS
 # SQL -------------------------------------------------------------------------
@@ -134,7 +135,9 @@ def reading_order_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _heads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    ordered = _ordered(spark, sf_dir)
+    # read by several steps, of which only headings need a text
+    text = F.when(F.col("type").isin(*headings.HEADINGS), F.col("text"))
+    ordered = saved(_ordered(spark, sf_dir).select("block_key", "doc_id", "page_number", "block_ord", "type", text.alias("text"), "font_size", "emit_index", "order_index", "block_id"))
     return ordered, headings.assign_levels(headings.heading_rows(ordered))
 
 
