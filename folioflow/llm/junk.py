@@ -69,22 +69,22 @@ def _lines(text: str) -> Iterator[str]:
             yield line
 
 
-def _kind(line: str) -> tuple[int, list[str]]:
-    """The line's kind, and its words without links."""
+def _kind(line: str) -> tuple[int, list[str], int]:
+    """The line's kind, its words without links, and its figures."""
+    figures = len(NUMBER.findall(line))
     length = len(line.strip())
     addresses = sum(len(m.group()) for m in LINK.finditer(line)) if MAY_LINK.search(line) else 0
     words = WORD.findall(LINK.sub(" ", line) if addresses else line)
     if addresses >= 0.3 * length and addresses >= 8:
-        return LINKS, words
+        return LINKS, words, figures
     tags = [m.group() for m in TAG.finditer(line)] if MAY_TAG.search(line) else []
     joined = sum(map(len, tags))
     if len(tags) >= 3 and joined >= 0.5 * sum(map(len, words)) and not STOP.search(line.rstrip()[:-1]) and (2 * sum(t[0] == "#" or t.islower() for t in tags) > len(tags) or len(set(tags)) <= 0.75 * len(tags)):
-        return TAGS, words
-    figures = len(NUMBER.findall(line))
+        return TAGS, words, figures
     if not words or "...." in line or line.count("|") >= 2 and figures or figures >= 0.25 * len(words) and not line.rstrip().endswith((".", "!", "?")):
-        return FIGURES, words
+        return FIGURES, words, figures
     functional = sum(map(FUNCTION_WORDS.__contains__, words))
-    return (WORDS if functional < 0.12 * len(words) else SENTENCES), words
+    return (WORDS if functional < 0.12 * len(words) else SENTENCES), words, figures
 
 
 def blocks(text: str) -> list[tuple]:
@@ -103,15 +103,15 @@ def blocks(text: str) -> list[tuple]:
         out.append((kind, chars, len(words), len(data), ratio, functional, stops / max(1, len(words)), figures / max(1, len(words)), repeated, len(set(words)) / max(1, len(words))))
 
     for line in _lines(text):
-        kind, words = _kind(line)
+        kind, words, figures = _kind(line)
         chars = len(line.strip())
         if kind in held and held[kind][0] + chars > BLOCK:
             close(kind)
         block = held.setdefault(kind, [0, [], 0, 0])
         block[0] += chars
         block[1] += map(str.lower, words)
-        block[2] += len(STOP.findall(line))
-        block[3] += len(NUMBER.findall(line))
+        block[2] += len(STOP.findall(line)) if "." in line or "!" in line or "?" in line else 0
+        block[3] += figures
     for kind in list(held):
         close(kind)
     return out
