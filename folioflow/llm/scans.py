@@ -437,16 +437,20 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield *row, fields[offsets[i] - offsets[0] : offsets[i + 1] - offsets[0]], extra
 
 
-def furniture(blocks: list[Block], shapes) -> list[tuple[bool, list[int]]]:
-    """(is furniture, its furniture lines) of each block; ``shapes`` gives the share of each shape in headers and footers, by ``get``."""
+def furniture(blocks: list[Block], shapes, sizes: set[int] | None = None) -> list[tuple[bool, list[int]]]:
+    """(is furniture, its furniture lines) of each block; ``shapes`` gives the share of each shape in headers and footers, by ``get``.
+
+    ``sizes`` are the numbers of words that any of these shapes has: masks keep
+    it, so a line of another number needs no shape.
+    """
     out = []
     for b in blocks:
         if b.typed:
             out.append((True, []))
         elif b.single:
-            is_ = shape(b.text)
-            share = shapes.get(is_, 0.0)
-            if share and is_:
+            is_ = shape(b.text) if sizes is None or len(ordinary(b.text).split()) in sizes else ""
+            share = shapes.get(is_, 0.0) if is_ else 0.0
+            if share:
                 one = b.edge or not b.titled and is_ not in ("#", "roman") and share >= 0.75 and (not b.placed or "#" in is_)
             else:
                 one = False
@@ -458,6 +462,8 @@ def furniture(blocks: list[Block], shapes) -> list[tuple[bool, list[int]]]:
             inked = [i for i, line in enumerate(lines) if line and not line.isspace()]
             for i in inked:
                 line = lines[i]
+                if sizes is not None and len(ordinary(line).split()) not in sizes:
+                    continue
                 is_ = shape(line)
                 bare = is_ in ("#", "roman")
                 if bare and not (i in (inked[0], inked[-1]) and _BARE_LINE.fullmatch(line)):
@@ -548,6 +554,8 @@ class Counts:
         self.words = {r["key"]: r["n"] for r in rows if r["kind"] == "word"}
         self.shapes = {r["key"]: r["share"] for r in rows if r["kind"] == "shape"}
         whole = counts.filter("kind = 'word'").agg(F.sum("n").alias("total"), F.collect_set(F.length("key")).alias("lengths")).collect()[0]
+        # of all shapes, also of those not sent
+        self.sizes = set(counts.filter("kind = 'shape'").agg(F.collect_set(F.size(F.split("key", " ")))).collect()[0][0])
         self.total, self.lengths = whole["total"] or 0, set(whole["lengths"])
 
 
@@ -569,7 +577,7 @@ class Tools:
 
     def page(self, items: list[Item], height: float | None, shapes) -> tuple[list[Block], list[tuple[bool, list[int]]]]:
         blocks = page_blocks(items, height, self.zones)
-        return blocks, furniture(blocks, shapes)
+        return blocks, furniture(blocks, shapes, self.sent.value.sizes)
 
 
 
