@@ -430,8 +430,10 @@ def pairs(questions: DataFrame, texts: int = SHARD) -> DataFrame:
         shard = Shard(sorted(frame["form"]))
         return pd.DataFrame({"shard": [int(frame["shard"].iloc[0])], "data": [pickle.dumps(shard, 4)]})
 
-    held.withColumn("shard", F.pmod(F.xxhash64("form"), F.lit(shards)).cast("int")).repartition(shards, "shard").groupBy("shard").applyInPandas(build, "shard int, data binary").write.partitionBy("shard").parquet(folder)
-    paths = [f"{folder}/shard={i}" for i in range(shards)]
+    sharded = held.withColumn("shard", F.pmod(F.xxhash64("form"), F.lit(shards)).cast("int"))
+    sharded.repartition(shards, "shard").groupBy("shard").applyInPandas(build, "shard int, data binary").write.partitionBy("shard").parquet(folder)
+    # a hash may leave a shard without texts
+    paths = [f"{folder}/shard={r['shard']}" for r in sharded.select("shard").distinct().collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[str] = []

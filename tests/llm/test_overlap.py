@@ -83,3 +83,13 @@ def test_shards_give_what_one_shard_gives(spark):
     questions = spark.createDataFrame(rows, "form string, split string")
     one, many = (sorted(map(tuple, O.pairs(questions, texts=n).collect())) for n in (1000, 5))
     assert one == many and len(one) == len(names)
+
+
+def test_one_side_without_questions(spark):
+    rows = [("revenue of acme in 2019", "train"), ("revenue of acme in 2018", "train")]
+    questions = spark.createDataFrame(rows, "form string, split string")
+    assert O.pairs(questions).count() == 0 == O.pairs(questions.limit(0)).count()
+    assert O.pairs(questions.withColumn("split", O.F.lit("dev"))).count() == 0
+    # more shards than texts: some are empty
+    both = questions.union(questions.withColumn("split", O.F.lit("test")))
+    assert O.pairs(both.union(spark.createDataFrame([(f"cost of {i}{i}x", "dev") for i in range(9)], both.schema)), texts=1).count() == 2
