@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.operators import furniture, headings, mapping, reading_order, running, scale, tables
-from folioflow.session import distinct_rows, saved
+from folioflow.session import distinct_rows, parallelism, saved
 
 PROCESSING_VERSION = "2"
+CONTRACT_VERSION = "1.0"
 
 
 def raw_frames(spark, sf_dir: str) -> dict[str, DataFrame]:
@@ -69,25 +75,66 @@ def looked_up(wanted: DataFrame, frame: DataFrame, keys: list[str], order: list[
     return wanted.join(first, keys, "left").select(*wanted.columns, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
+def _parts(frames: dict[str, DataFrame]) -> list[tuple[str, DataFrame, Column]]:
+    """name, rows and struct of each array of a nested document; the structs in order are the array's order."""
+    blocks = frames["blocks"].groupBy("doc_id", "page_number").agg(F.sort_array(F.collect_list(F.struct("emit_index", "block_id", "type", "text", "section_id", "order_index", "heading_level", "table_id"))).alias("blocks"))
+    return [
+        ("pages", frames["pages"].join(blocks, ["doc_id", "page_number"], "left"), F.struct("page_number", "width", "height", "rotation", "extraction_source", "ocr_confidence", "low_confidence", "reading_order", "blocks")),
+        ("sections", frames["sections"], F.struct("i", "section_id", "title", "level", "parent_section_id", "path", "heading_block_id", "page_start", "page_end")),
+        ("tables", frames["tables"], F.struct("table_id", "block_id", "page_number", "section_id", "caption", "n_rows", "n_cols", "header_rows", "header_cols", "scale", "scale_label", "currency")),
+        ("warnings", frames["warnings"], F.struct("code", "page", "message")),
+    ]
+
+
 def nested(frames: dict[str, DataFrame]) -> DataFrame:
     """One row per document with its pages, sections, tables and warnings nested, arrays in order."""
+    (pages, *rest) = [(name, df.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias(name))) for name, df, item in _parts(frames)]
+    out = pages[1]
+    for _, rolled in rest:
+        out = out.join(rolled, "doc_id", "left")
+    return out.withColumn("contract_version", F.lit(CONTRACT_VERSION))
 
-    def rolled(df: DataFrame, name: str, order: list[str], columns: list[str]) -> DataFrame:
-        return df.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*order, *[c for c in columns if c not in order]))).alias(name))
 
-    blocks = frames["blocks"].groupBy("doc_id", "page_number").agg(F.sort_array(F.collect_list(F.struct("emit_index", "block_id", "type", "text", "section_id", "order_index", "heading_level", "table_id"))).alias("blocks"))
-    pages = frames["pages"].join(blocks, ["doc_id", "page_number"], "left")
-    out = rolled(pages, "pages", ["page_number"], ["width", "height", "rotation", "extraction_source", "ocr_confidence", "low_confidence", "reading_order", "blocks"])
-    for name, order, columns in (
-        ("sections", ["i"], ["section_id", "title", "level", "parent_section_id", "path", "heading_block_id", "page_start", "page_end"]),
-        ("tables", ["table_id"], ["block_id", "page_number", "section_id", "caption", "n_rows", "n_cols", "header_rows", "header_cols", "scale", "scale_label", "currency"]),
-        ("warnings", ["code", "page"], ["message"]),
-    ):
-        out = out.join(rolled(frames[name], name, order, columns), "doc_id", "left")
-    return out.withColumn("contract_version", F.lit("1.0"))
-
-
-def stable_hash(documents: DataFrame) -> DataFrame:
-    """doc_id and a hash of all that doesn't depend on the run."""
-    kept = [c for c in documents.columns if c not in ("processing", "doc_id")]
-    return documents.select("doc_id", F.sha2(F.to_json(F.struct(*kept)), 256).alias("stable_hash"))
+def parts(frames: dict[str, DataFrame]) -> DataFrame:
+    """What ``nested`` nests, a row each: doc_id, and a page, section, table or warning in the column of its name, nulls in the others.
+
+    As there, a document is one that has pages, and a null doc_id has nothing but them.
+    """
+    listed = [(name, df if name == "pages" else df.filter("doc_id is not null"), item) for name, df, item in _parts(frames)]
+    rows = [df.select("doc_id", item.alias(name)) for name, df, item in listed]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+
+
+def stable_hash(parts: DataFrame) -> DataFrame:
+    """doc_id and a hash of all that doesn't depend on the run, from the ``parts`` of the documents.
+
+    It is the SHA-256 of the nested document's JSON, read part by part in
+    order, so that no document is gathered into one row, however long it is.
+    """
+    kept = [c for c in parts.columns if c not in ("processing", "doc_id")]
+    part = F.coalesce(*[F.when(F.col(c).isNotNull(), i) for i, c in enumerate(kept)])
+    placed = parts.select("doc_id", part.alias("_part"), *kept).repartition(parallelism(parts.sparkSession), "doc_id").sortWithinPartitions("doc_id", "_part", *kept)
+    opening, end = [f'"{c}":['.encode() for c in kept], f'],"contract_version":"{CONTRACT_VERSION}"}}'.encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the document at hand, which goes on from batch to batch; no digest if it has no pages
+        doc, last, digest = object(), None, None
+        for batch in batches:
+            docs, hashes = [], []
+            for other, at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
+                if other != doc:
+                    if digest:
+                        digest.update(end)
+                        docs.append(doc)
+                        hashes.append(digest.hexdigest())
+                    doc, last, digest = other, None, None if at else hashlib.sha256()
+                if digest:
+                    digest.update(b"," if at == last else (b"{" if last is None else b"],") + opening[at])
+                    digest.update(text)
+                last = at
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(hashes, pa.string())], ["doc_id", "stable_hash"])
+        if digest:
+            digest.update(end)
+            yield pa.RecordBatch.from_arrays([pa.array([doc], pa.string()), pa.array([digest.hexdigest()], pa.string())], ["doc_id", "stable_hash"])
+
+    return placed.select("doc_id", "_part", F.coalesce(*[F.to_json(c) for c in kept]).alias("_json")).mapInArrow(run, "doc_id string, stable_hash string")

@@ -296,8 +296,12 @@ def nested_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.nested(assemble.assemble(_raw(spark, sf_dir)))
 
 
+def document_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.parts(assemble.assemble(_raw(spark, sf_dir)))
+
+
 def stable_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assemble.stable_hash(nested_document(spark, sf_dir))
+    return assemble.stable_hash(document_parts(spark, sf_dir))
 
 
 def block_text_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:

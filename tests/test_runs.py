@@ -1,5 +1,6 @@
 """Runs, gold and result files, running values, phrases and numbers against brute force."""
 
+import hashlib
 import json
 import random
 
@@ -116,6 +117,36 @@ def test_documents(spark):
     assert {(r[0], r[1]) for r in hashes.collect()} == {(r[0], r[1]) for r in catalog.QUERIES["stable_hash"](spark, SF).collect()}
 
 
+def test_hashes_gather_no_document(spark, tmp_path):
+    nested = catalog.QUERIES["nested_document"](spark, SF)
+    want = nested.select("doc_id", F.sha2(F.to_json(F.struct(*[c for c in nested.columns if c != "doc_id"])), 256)).collect()
+    hashes, holds = catalog.QUERIES["stable_hash"](spark, SF), catalog.QUERIES["stable_hash_holds"](spark, SF)
+    assert sorted(map(tuple, hashes.collect())) == sorted(map(tuple, want))
+    for df in (hashes, holds):
+        gathered = [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "collect_list" in line]
+        assert gathered and all("Aggregate [doc_id" in line and "page_number" in line.split("]")[0] for line in gathered)
+    # a null key is a key like any other, also in batches of one row
+    for name in ("raw_blocks", "raw_tables", "raw_cells", "raw_pages"):
+        df = spark.read.parquet(f"{SF}/{name}.parquet")
+        (df if name != "raw_pages" else df.unionByName(df.limit(1).withColumn("doc_id", F.lit(None).cast("string")))).write.parquet(f"{tmp_path}/{name}.parquet")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(size)
+    spark.conf.set(size, 1)
+    try:
+        assert {(r["doc_id"], r["same"]) for r in catalog.QUERIES["stable_hash_holds"](spark, str(tmp_path)).collect()} == {(r["doc_id"], True) for r in want} | {(None, True)}
+    finally:
+        spark.conf.set(size, usual)
+
+
+def test_hashes_of_parts(spark):
+    kind = "doc_id string, pages struct<n:int,t:string>, warnings struct<code:string,page:int>"
+    rows = [("b", None, ("X", 2)), ("a", (2, "é"), None), ("a", (1, None), None), ("c", None, ("X", 1)), ("a", None, ("X", None)), ("b", (1, '"'), None)]
+    got = {r["doc_id"]: r["stable_hash"] for r in assemble.stable_hash(spark.createDataFrame(rows, kind).withColumn("processing", F.rand())).collect()}
+    want = {"a": '{"pages":[{"n":1},{"n":2,"t":"é"}],"warnings":[{"code":"X"}],"contract_version":"1.0"}', "b": '{"pages":[{"n":1,"t":"\\""}],"warnings":[{"code":"X","page":2}],"contract_version":"1.0"}'}
+    assert got == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in want.items()}
+    assert assemble.stable_hash(spark.createDataFrame([], kind)).count() == 0
+
+
 def test_cell_values_and_units(spark):
     units = {(r["doc_id"], r["page_number"], r["block_ord"]): r["scale"] for r in catalog.QUERIES["table_units"](spark, SF).collect()}
     raw = assemble.raw_frames(spark, SF)
